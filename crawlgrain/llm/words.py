@@ -136,10 +136,7 @@ def windows(hashes: np.ndarray, doc: np.ndarray, size: int, seed: int = 2) -> tu
     return at, p.ranges(p.prefix(hashes), at, at + size)
 
 
-def cover(n: int, starts: np.ndarray, size: int | np.ndarray) -> np.ndarray:
-    """Mask of the positions that some range [start, start + size) covers."""
-    delta = np.zeros(n + 1, dtype=np.int64)
-    np.add.at(delta, starts, 1) if len(starts) < 1000 else delta.__iadd__(np.bincount(starts, minlength=n + 1))
-    ends = starts + size
-    delta -= np.bincount(ends, minlength=n + 1)
-    return np.cumsum(delta[:-1]) > 0
+def cover(n: int, starts: np.ndarray, sizes: int | np.ndarray) -> np.ndarray:
+    """Mask of the n positions that some range [start, start + size) covers."""
+    delta = np.bincount(starts, minlength=n + 1) - np.bincount(starts + sizes, minlength=n + 1)
+    return np.cumsum(delta[:n]) > 0
