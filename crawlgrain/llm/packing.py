@@ -18,14 +18,19 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
+from crawlgrain.llm import words as W
+
 SCHEMA = "doc_id long, start long, length int, ids binary, doc_tokens long, sequence_id long, offset int, sequence_length int, step_group long"
 _WORDS_KEPT = 400_000
-_LONGEST_KEPT = 64
+_BYTES_AT_ONCE = 6 << 20
+_MARKS = b".,;:!?%$&*#)"
 
 
 @dataclass(frozen=True)
@@ -49,8 +54,10 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 class WordTokens:
     """Ids of texts as little-endian unsigned 32-bit integers.
 
-    The tokenizer never joins what white space parts, so a text's ids are those of its
-    words in a row, and each distinct word is encoded once for as long as it is kept.
+    The tokenizer lower-cases, never joins what white space parts, and parts letters
+    from punctuation. So a text's ids are those of its words in a row, a word's ids are
+    those of its stem and of the punctuation after it, and each distinct stem is encoded
+    once for as long as it is kept: two generations of at most _WORDS_KEPT words.
     """
 
     def __init__(self, path: str):
@@ -61,22 +68,68 @@ class WordTokens:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[bytes, bytes] = {}
-
-    def encode(self, text: bytes) -> bytes:
-        words = text.split()
-        try:
-            return b"".join(map(self.known.__getitem__, words))
-        except KeyError:
-            pass
-        new = [w for w in {*words} if w not in self.known]
-        if len(self.known) + len(new) > _WORDS_KEPT:
-            self.known.clear()
-            new = list({*words})
-        out = self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
-        ids = {w: b"".join(i.to_bytes(4, "little") for i in e.ids) for w, e in zip(new, out, strict=True)}
-        self.known.update((w, x) for w, x in ids.items() if len(w) <= _LONGEST_KEPT)
-        look = self.known.get
-        return b"".join([ids[w] if w in ids else look(w) for w in words])
+        self.older: dict[bytes, bytes] = {}
+
+    def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, and where each text's begin."""
+        if not pc.any(pc.match_substring(texts, pattern="<|")).as_py():  # special tokens are told by their case
+            texts = pc.ascii_lower(texts)
+        w = W.split(texts)
+        h = w.hashes(5)[0]
+        order = np.argsort(h)
+        first = np.concatenate([[True], h[order[1:]] != h[order[:-1]]]) if len(h) else np.zeros(0, dtype=bool)
+        back = np.empty(len(h), dtype=np.int64)
+        back[order] = np.cumsum(first) - 1
+        one, raw = order[first], w.buf.tobytes()
+        distinct = [raw[a:b] for a, b in zip(w.starts[one].tolist(), w.ends[one].tolist(), strict=True)]
+        if len(self.known) > _WORDS_KEPT:
+            self.known, self.older = {}, self.known
+        self._learn({x for x in distinct if x not in self.known})
+        parts = list(map(self.known.__getitem__, distinct))
+        size = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts)) // 4
+        flat, n = np.frombuffer(b"".join(parts), dtype="<u4"), size[back]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        at = np.repeat((np.cumsum(size) - size)[back] - ends[:-1], n) + np.arange(ends[-1])
+        return flat[at], ends[np.searchsorted(w.doc, np.arange(w.n_docs + 1))]
+
+    def _learn(self, words: set[bytes]) -> None:
+        known, older, parts, new = self.known, self.older, {}, {}
+        if older and (again := words & older.keys()):
+            known.update((w, older[w]) for w in again)
+            words -= again
+        for w in words:
+            if w[-1] not in _MARKS:
+                new[w] = None
+                continue
+            stem = w.rstrip(_MARKS)
+            if not stem or not (97 <= stem[-1] <= 122 or stem[-4:].decode("utf-8", "ignore")[-1:].isalpha()):
+                new[w] = None
+                continue
+            parts[w] = stem, w[len(stem) :]
+            for x in parts[w]:
+                if x not in known:
+                    if x in older:
+                        known[x] = older[x]
+                    else:
+                        new[x] = None
+        encoded = self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
+        lists = [e.ids for e in encoded]
+        flat = np.fromiter(chain.from_iterable(lists), dtype="<u4").tobytes()
+        at = 0
+        for w, ids in zip(new, lists, strict=True):
+            known[w] = flat[at : at + 4 * len(ids)]
+            at += 4 * len(ids)
+        for w, (stem, marks) in parts.items():
+            known[w] = known[stem] + known[marks]
+
+
+_ENCODERS: dict[str, WordTokens] = {}  # of this worker process: later tasks find the words known
+
+
+def encoder(path: str) -> WordTokens:
+    if path not in _ENCODERS:
+        _ENCODERS[path] = WordTokens(path)
+    return _ENCODERS[path]
 
 
 class Packer:
@@ -181,14 +234,20 @@ def pack_documents(docs: DataFrame, packing: Packing, id_column: str = "doc_id",
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        words, packer = WordTokens(packing.tokenizer), Packer(packing, TaskContext.get().partitionId())
+        words = encoder(packing.tokenizer)
+        packer = Packer(packing, TaskContext.get().partitionId())
         end = packing.end_id.to_bytes(4, "little")
         for batch in batches:
-            texts = pc.fill_null(batch.column(1).cast(pa.large_binary()), b"")
-            for doc_id, text in zip(batch.column(0).to_pylist(), texts, strict=True):
-                packer.add(doc_id, words.encode(text.as_py()) + end)
-                if len(packer.rows) >= 2000:
-                    yield packer.batch()
+            texts = pc.fill_null(batch.column(1), "")
+            size = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64)
+            at = 0
+            while at < len(texts):
+                n = max(1, int(np.searchsorted(size, (size[at - 1] if at else 0) + _BYTES_AT_ONCE, "right")) - at)
+                ids, bounds = words.encode_all(texts.slice(at, n))
+                for doc_id, a, b in zip(batch.column(0).slice(at, n).to_pylist(), bounds.tolist(), bounds[1:].tolist(), strict=False):
+                    packer.add(doc_id, ids[a:b].tobytes() + end)
+                at += n
+                yield packer.batch()
         packer.close()
         yield packer.batch()
 

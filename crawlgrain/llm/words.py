@@ -115,8 +115,7 @@ def split(texts: pa.Array, separators: np.ndarray = WHITE) -> Words:
     if not n:
         empty = np.zeros(0, dtype=np.int64)
         return Words(np.zeros(0, dtype=np.uint8), empty, empty, empty, 0)
-    lists = pa.LargeListArray.from_arrays(pa.array([0, n], pa.int64()), raw)
-    buf = np.frombuffer(pc.binary_join(lists, b"\n")[0].as_buffer(), dtype=np.uint8)
+    buf = np.frombuffer(b"\n".join(raw.to_pylist()), dtype=np.uint8)
     begins = np.zeros(n, dtype=np.int64)
     np.cumsum(pc.binary_length(raw).to_numpy(zero_copy_only=False)[:-1] + 1, out=begins[1:])
     inside = np.zeros(len(buf) + 2, dtype=np.int8)
