@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,3 +32,18 @@ def text_bytes(df: DataFrame, column: str) -> int:
 
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], column: str, rows: int) -> Iterator[pa.Table]:
+    """Tables of at least about `rows` rows, but the last, that cut no run of equal values of `column`."""
+    held: pa.Table | None = None
+    for batch in batches:
+        t = pa.Table.from_batches([batch])
+        held = t if held is None else pa.concat_tables([held, t])
+        if held.num_rows >= rows:
+            n = pc.index(held.column(column), held.column(column)[held.num_rows - 1]).as_py()
+            if n:
+                yield held.slice(0, n).combine_chunks()
+                held = held.slice(n)
+    if held is not None and held.num_rows:
+        yield held.combine_chunks()

@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from crawlgrain.llm.cluster import durable
+from crawlgrain.llm.cluster import durable, whole_groups
 from crawlgrain.llm.components import connected_components
 
 U64 = np.uint64
@@ -145,30 +145,14 @@ def links(distinct: DataFrame, distance: int = 4, bucket_rows: int = _BUCKET) ->
     """
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
-
-        def flush(t: pa.Table) -> pa.RecordBatch:
-            names = t.column("bucket").combine_chunks().dictionary_encode()
-            bucket = names.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        for t in whole_groups(batches, "bucket", 100_000):
+            bucket = t.column("bucket").combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
             f, node = t.column("fingerprint").to_numpy().view(U64), t.column("node").to_numpy()
             order = np.lexsort((gray_rank(f), bucket))
             bucket, f, node = bucket[order], f[order], node[order]
-            root = _roots(len(f), near_pairs(bucket, f, distance)) if len(f) else np.zeros(0, dtype=np.int64)
+            root = _roots(len(f), near_pairs(bucket, f, distance))
             linked = np.flatnonzero(root != np.arange(len(root)))
-            return pa.RecordBatch.from_arrays([pa.array(node[root[linked]]), pa.array(node[linked])], ["a", "b"])
-
-        for batch in batches:
-            t = pa.Table.from_batches([batch])
-            t = t if held is None else pa.concat_tables([held, t])
-            held = t
-            if t.num_rows >= 100_000:  # only whole buckets
-                last = t.column("bucket")[t.num_rows - 1]
-                n = pc.index(t.column("bucket"), last).as_py()
-                if n:
-                    yield flush(t.slice(0, n).combine_chunks())
-                    held = t.slice(n)
-        if held is not None:
-            yield flush(held.combine_chunks())
+            yield pa.RecordBatch.from_arrays([pa.array(node[root[linked]]), pa.array(node[linked])], ["a", "b"])
 
     found, rows, turn = None, distinct.withColumn("trail", F.lit("")), 0
     while True:
