@@ -122,23 +122,28 @@ def repeated_words(docs: DataFrame, window: int = 13, id_column: str = "doc_id",
     what is returned of a document: it gets its id, buffer, word starts, word ends and
     the mask of removed words.
     """
-    spark = docs.sparkSession
     cut, lengths = X.sizes(docs, text_column), level_lengths(window)
     groups = X.grouped(docs, cut, id_column, text_column).groupBy("grp")
     last, bits = len(lengths) - 1, cut.bits
     finish = finish or _kept
     schema = schema or pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())])
 
-    def at_level(k: int):
-        width = 64 if k == last else bits
+    def blocks_of(docs_table: pa.Table, answer: pa.Table | None, k: int) -> pa.Table:
+        grp, ids = docs_table.column("grp")[0].as_py(), _ids(docs_table.column("doc_id"))
+        level, check, _ = _levels(W.split(docs_table.column("text")), ids, lengths, bits, lambda j, v: X.read_answers(answer, j, v, cut.buckets, bits), k)
+        extra = (check, level.least) if k == last else ()
+        return X.block_table(X.blocks(grp, k, level.values, cut.buckets, 64 if k == last else bits, extra))
 
-        def send(docs_table: pa.Table, answer: pa.Table | None) -> pa.Table:
-            grp, ids = docs_table.column("grp")[0].as_py(), _ids(docs_table.column("doc_id"))
-            level, check, _ = _levels(W.split(docs_table.column("text")), ids, lengths, bits, lambda j, v: X.read_answers(answer, j, v, cut.buckets, bits), k)
-            extra = (check, level.least) if k == last else ()
-            return X.block_table(X.blocks(grp, k, level.values, cut.buckets, width, extra))
+    def sent_at(k: int, told: DataFrame | None) -> DataFrame:
+        def first(t: pa.Table) -> pa.Table:
+            return blocks_of(t, None, k)
 
-        return send
+        def later(t: pa.Table, a: pa.Table) -> pa.Table:
+            return blocks_of(t, a, k) if t.num_rows else X.block_table([])
+
+        if told is None:
+            return groups.applyInArrow(first, X.BLOCK)
+        return groups.cogroup(told.groupBy("grp")).applyInArrow(later, X.BLOCK)
 
     def final(docs_table: pa.Table, answer: pa.Table) -> pa.Table:
         ids = _ids(docs_table.column("doc_id"))
@@ -154,16 +159,15 @@ def repeated_words(docs: DataFrame, window: int = 13, id_column: str = "doc_id",
 
     told: DataFrame | None = None
     for k in range(last + 1):
-        send = at_level(k)
-        if told is None:
-            sent = groups.applyInArrow(lambda t, send=send: send(t, None), X.BLOCK)
-        else:
-            sent = groups.cogroup(told.groupBy("grp")).applyInArrow(lambda t, a, send=send: send(t, a) if t.num_rows else X.block_table([]), X.BLOCK)
+        sent = sent_at(k, told)
         part = sent.groupBy("bucket").applyInArrow(_earlier_group if k == last else _other_groups, X.ANSWER)
         told = part if told is None else told.unionByName(part)
     out = ", ".join(f"{f.name} {_NAMES[f.type]}" for f in schema)
-    empty = spark.createDataFrame([], X.ANSWER)
-    return groups.cogroup((told if told is not None else empty).groupBy("grp")).applyInArrow(lambda t, a: final(t, a) if t.num_rows else schema.empty_table(), out)
+
+    def finished(t: pa.Table, a: pa.Table) -> pa.Table:
+        return final(t, a) if t.num_rows else schema.empty_table()
+
+    return groups.cogroup(told.groupBy("grp")).applyInArrow(finished, out)
 
 
 _NAMES = {pa.int64(): "long", pa.string(): "string"}

@@ -33,7 +33,8 @@ _SIGNATURES = 4
 def _features(texts: pa.Array) -> tuple[W.Words, list[np.ndarray]]:
     """Words (lower-cased, without punctuation) and their feature ids: the word, then its beginnings (-1: none)."""
     w = W.split(pc.utf8_lower(texts), W.PUNCT)
-    ids = [(h >> U64(64 - HASH_BITS)).astype(np.int32) for h in (hashes := w.hashes(4, PREFIXES))]
+    hashes = w.hashes(4, PREFIXES)
+    ids = [(h >> U64(64 - HASH_BITS)).astype(np.int32) for h in hashes]
     for k, h in enumerate(hashes[1:], 1):
         ids[k][h == 0] = -1
     return w, ids
