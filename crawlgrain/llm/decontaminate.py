@@ -112,24 +112,45 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
     The benchmark is read in parts of at most about part_bytes, each a pass over the
     documents, so what a task holds is bounded at any size.
     """
-    n_parts = -(-text_bytes(benchmark, "text") // part_bytes) or 1
-
-    def one(part: int) -> DataFrame:
-        rows = benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_parts)) == part).select(F.col("item_id").cast("long"), F.col("text").cast("string")).toArrow()
-        seeds = Seeds(rows.column(0).to_pylist(), rows.column(1).combine_chunks(), seed)
 
+    def one(seeds: Seeds) -> DataFrame:
         def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                yield _match(batch, seeds, coverage)
+                yield _match(batch.column(0), batch.column(1), seeds, coverage)
 
         return docs.select(docs[id_column].cast("long"), docs[text_column].cast("string")).mapInArrow(task, SCHEMA)
 
-    return reduce(DataFrame.unionByName, map(one, range(n_parts)))
+    return reduce(DataFrame.unionByName, map(one, _parts(benchmark, seed, part_bytes)))
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, seed: int = SEED_WORDS, text_column: str = "text", part_bytes: int = PART_BYTES) -> DataFrame:
+    """The rows of docs that contaminated() doesn't name, all columns as they are, without a shuffle."""
+    schema = docs.schema
+    for seeds in _parts(benchmark, seed, part_bytes):
+
+        def task(batches: Iterator[pa.RecordBatch], seeds: Seeds = seeds) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                texts = batch.column(batch.schema.names.index(text_column)).cast(pa.string())
+                hit = _match(pa.array(np.arange(len(texts))), texts, seeds, coverage).column(0).to_numpy()
+                keep = np.ones(len(texts), dtype=bool)
+                keep[hit] = False
+                yield batch.filter(pa.array(keep))
+
+        docs = docs.mapInArrow(task, schema)
+    return docs
+
+
+def _parts(benchmark: DataFrame, seed: int, part_bytes: int) -> Iterator[Seeds]:
+    """The benchmark's seeds, in parts of bounded size."""
+    n = -(-text_bytes(benchmark, "text") // part_bytes) or 1
+    for part in range(n):
+        rows = benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == part).select(F.col("item_id").cast("long"), F.col("text").cast("string")).toArrow()
+        yield Seeds(rows.column(0).to_pylist(), rows.column(1).combine_chunks(), seed)
 
 
-def _match(batch: pa.RecordBatch, seeds: Seeds, coverage: float) -> pa.RecordBatch:
+def _match(ids: pa.Array, texts: pa.Array, seeds: Seeds, coverage: float) -> pa.RecordBatch:
     out: list[tuple] = []
-    w = _split(batch.column(1))
+    w = _split(texts)
     if len(w.starts) and len(seeds.hash):
         at, h = W.windows(w.hashes()[0], w.doc, seeds.seed)
         i, j = seeds.hits(h)
@@ -144,7 +165,7 @@ def _match(batch: pa.RecordBatch, seeds: Seeds, coverage: float) -> pa.RecordBat
             found = tiles(p[a:b], q[a:b], seeds.seed)
             share = sum(n for _, _, n in found) / int(seeds.words[item[a]])
             if share >= coverage - 1e-12:
-                out.append((batch.column(0)[int(doc[a])].as_py(), seeds.ids[int(item[a])], share, found))
+                out.append((ids[int(doc[a])].as_py(), seeds.ids[int(item[a])], share, found))
     columns = list(zip(*out, strict=True)) or [()] * 4
     structs = [[{"doc_word": a, "item_word": b, "words": n} for a, b, n in x] for x in columns[3]]
     return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64()), pa.array(structs, _TILES)], ["doc_id", "item_id", "coverage", "tiles"])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crawlgrain.llm import decontaminate, html_blocks, packing, pivot_index, simhash, substring_dedup, toxicity, warc
+from crawlgrain.llm import decontaminate, html_blocks, packing, pii, pivot_index, simhash, substring_dedup, suffix_array, toxicity, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digests(_read(spark, sf_dir, "documents"))
 
 
+def op3_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_array.repeated_passages(_read(spark, sf_dir, "documents"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.fit(docs, _read(spark, sf_dir, "labels")))
@@ -49,7 +53,12 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "item_id", F.round("coverage", 6).alias("coverage"), F.size("tiles").cast("long").alias("n_tiles"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_substring_dedup, op4_toxicity, op5_embedding_dedup, op6_html_text, op7_simhash, op8_packing, op9_decontamination)}
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.pseudonymise(_read(spark, sf_dir, "documents"), found_column="pii")
+    return found.select("doc_id", "text", F.size("pii").cast("long").alias("n_pii"))
+
+
+QUERIES = {f.__name__: f for f in (op1_warc, op2_substring_dedup, op3_suffix_array, op4_toxicity, op5_embedding_dedup, op6_html_text, op7_simhash, op8_packing, op9_decontamination, op10_pii)}
 
 _OP1 = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
@@ -74,6 +83,16 @@ SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, CAST(coalesce(len(g.gone),
 FROM w LEFT JOIN g USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
 
+_OP3 = r"""
+WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id, unnest(range(1, len(w) - 48)) AS p, w FROM w WHERE len(w) >= 50),
+k AS (SELECT doc_id, p, sha256(array_to_string(w[p:p + 49], ' ')) AS k FROM s),
+hit AS (SELECT doc_id, p FROM (SELECT doc_id, p, min(doc_id) OVER (PARTITION BY k) AS least, max(doc_id) OVER (PARTITION BY k) AS most FROM k) WHERE least < most),
+new AS (SELECT doc_id, p, CASE WHEN p <= lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 50 THEN 0 ELSE 1 END AS new FROM hit),
+island AS (SELECT doc_id, p, sum(new) OVER (PARTITION BY doc_id ORDER BY p) AS island FROM new)
+SELECT doc_id, CAST(min(p) - 1 AS BIGINT) AS first_word, CAST(max(p) - min(p) + 50 AS BIGINT) AS n_words FROM island GROUP BY doc_id, island
+"""
+
 _OP5 = """
 WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
 links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a, v b WHERE a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.95),
@@ -84,4 +103,4 @@ SELECT v.vec_id, CAST(coalesce(n.n_links, 0) AS BIGINT) AS n_links, c.component_
 FROM v JOIN c USING (vec_id) LEFT JOIN n USING (vec_id)
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_warc": _OP1, "op2_substring_dedup": _OP2, "op5_embedding_dedup": _OP5}
+ORACLE_SQL: dict[str, str] = {"op1_warc": _OP1, "op2_substring_dedup": _OP2, "op3_suffix_array": _OP3, "op5_embedding_dedup": _OP5}

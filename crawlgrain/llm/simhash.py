@@ -190,3 +190,19 @@ def near_duplicates(docs: DataFrame, distance: int = 4, shingle: int = 4, id_col
     known = distinct.join(component, "node", "left").select("fingerprint", F.coalesce("component", "node").alias("component_id"))
     out = marked.join(known, "fingerprint", "left")
     return out.select("doc_id", "fingerprint", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, distance: int = 4, shingle: int = 4, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """docs with one row of each group of near duplicates, that of the smallest id; all columns as they are.
+
+    Rows of a null id stay. Where an id is repeated, one of its rows stays.
+    """
+    found = near_duplicates(docs, distance, shingle, id_column, text_column)
+    kept = durable(found.where("doc_id = component_id").groupBy(F.col("doc_id").alias("kept_id")).agg(F.count("*").alias("n")))
+    out = docs.join(kept.select("kept_id"), docs[id_column] == F.col("kept_id"), "left_semi")
+    again = kept.where("n > 1")
+    if not again.isEmpty():
+        many = out.join(again.select("kept_id"), out[id_column] == F.col("kept_id"), "left_semi").dropDuplicates([id_column])
+        out = out.join(again.select("kept_id"), out[id_column] == F.col("kept_id"), "left_anti").unionByName(many)
+    null = docs.where(docs[id_column].isNull())
+    return out if null.isEmpty() else out.unionByName(null)
