@@ -27,7 +27,10 @@ SAMPLE = 4000
 SCHEMA = "doc_id long, severity double, p_toxic double, grade int, toxic boolean"
 #: Occurrences of toxic features up to which a toxic document is of grade 1, of grade 2; above: 3.
 GRADE_CUTS = (2, 5)
-_SIGNATURES = 4
+#: A document is toxic if P(grade > 0) reaches this.
+CUT = 0.4
+_SIGNATURES = 8
+_RUN = 3
 
 
 def _features(texts: pa.Array) -> tuple[W.Words, list[np.ndarray]]:
@@ -48,7 +51,7 @@ class OrdinalModel:
     thresholds: np.ndarray
 
     def scores(self, texts: pa.Array) -> np.ndarray:
-        """w x of every text: the sum over its features of weight times log(1 + count)."""
+        """w x of every text: the sum over its features of weight times 1 + log(count)."""
         w, ids = _features(texts)
         out = np.zeros(w.n_docs)
         docs, found = [], []
@@ -57,7 +60,7 @@ class OrdinalModel:
             docs.append(w.doc[hit])
             found.append(f[hit])
         key, n = np.unique(np.concatenate(docs).astype(np.int64) << HASH_BITS | np.concatenate(found), return_counts=True)
-        np.add.at(out, key >> HASH_BITS, self.weights[key & ((1 << HASH_BITS) - 1)] * np.log1p(n))
+        np.add.at(out, key >> HASH_BITS, self.weights[key & ((1 << HASH_BITS) - 1)] * (1 + np.log(n)))
         return out
 
     def exceed(self, scores: np.ndarray) -> np.ndarray:
@@ -65,7 +68,7 @@ class OrdinalModel:
         return 1 / (1 + np.exp(np.clip(self.thresholds[None, :] - scores[:, None], -50, 50)))
 
 
-def fit_ordinal(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, grades: np.ndarray, weight: np.ndarray, n_features: int, n_grades: int, penalty: float = 1e-3, steps: int = 400) -> tuple[np.ndarray, np.ndarray]:
+def fit_ordinal(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, grades: np.ndarray, weight: np.ndarray, n_features: int, n_grades: int, penalty: float = 2e-5, steps: int = 800) -> tuple[np.ndarray, np.ndarray]:
     """Weights and thresholds of the cumulative-link model, by gradient ascent with Adam.
 
     Thresholds are theta_0 plus positive gaps, so they stay ordered.
@@ -97,10 +100,10 @@ def fit_ordinal(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, grades:
 
 
 def _sample_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each labelled text: distinct features, their counts, signatures of its five-word runs."""
+    """Of each labelled text: distinct features, their counts, signatures of its runs of _RUN words."""
     for batch in batches:
         w, ids = _features(batch.column("text"))
-        at, h = W.windows(w.hashes()[0], w.doc, 5)
+        at, h = W.windows(w.hashes()[0], w.doc, _RUN)
         of = w.doc[at]
         bounds, runs = np.searchsorted(w.doc, np.arange(w.n_docs + 1)), np.searchsorted(of, np.arange(w.n_docs + 1))
         feats, counts, signs = [], [], []
@@ -161,7 +164,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, grade_column:
         grades = np.where(toxic == 1, 1 + np.searchsorted(GRADE_CUTS, hits, "left"), 0)
     n_grades = max(2, int(grades.max()) + 1)
     weight = np.where(toxic == 1, sizes.get(1, 0) / n_toxic, sizes.get(0, 0) / n_clean)
-    w, thresholds = fit_ordinal(rows, cols, np.log1p(values), grades.astype(np.int64), weight / weight.mean(), len(ids), n_grades)
+    w, thresholds = fit_ordinal(rows, cols, 1 + np.log(values), grades.astype(np.int64), weight / weight.mean(), len(ids), n_grades)
     weights = np.zeros(1 << HASH_BITS)
     weights[ids] = w
     return OrdinalModel(weights, thresholds)
@@ -172,11 +175,11 @@ def _telling(toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int) -
     a, b = (toxic + 0.5) / (n_toxic + 1), (clean + 0.5) / (n_clean + 1)
     pooled = (toxic + clean + 1) / (n_toxic + n_clean + 2)
     z = (a - b) / np.sqrt(pooled * (1 - pooled) * (1 / n_toxic + 1 / n_clean))
-    return (z >= 4) & (a >= 6 * b) & (toxic >= 4)
+    return (z >= 5) & (a >= 8 * b)
 
 
 def score(docs: DataFrame, model: OrdinalModel, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """One row per document: SCHEMA. severity is the expected grade; toxic: P(grade > 0) >= 0.5.
+    """One row per document: SCHEMA. severity is the expected grade; toxic: P(grade > 0) >= CUT.
 
     Null and empty texts have no feature and get what the thresholds alone say; null
     ids and repeated rows stay; an empty table gives no rows; other columns are ignored.
@@ -186,7 +189,7 @@ def score(docs: DataFrame, model: OrdinalModel, id_column: str = "doc_id", text_
         for batch in batches:
             p = model.exceed(model.scores(batch.column(1)))
             grade = (p >= 0.5).sum(axis=1).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p.sum(axis=1)), pa.array(p[:, 0]), pa.array(grade), pa.array(p[:, 0] >= 0.5)], [x.split()[0] for x in SCHEMA.split(", ")])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p.sum(axis=1)), pa.array(p[:, 0]), pa.array(grade), pa.array(p[:, 0] >= CUT)], [x.split()[0] for x in SCHEMA.split(", ")])
 
     return docs.select(docs[id_column].cast("long"), docs[text_column].cast("string")).mapInArrow(task, SCHEMA)
 
@@ -197,6 +200,6 @@ def without_toxic(docs: DataFrame, model: OrdinalModel, text_column: str = "text
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(batch.schema.names.index(text_column)).cast(pa.string())
-            yield batch.filter(pa.array(model.exceed(model.scores(texts))[:, 0] < 0.5))
+            yield batch.filter(pa.array(model.exceed(model.scores(texts))[:, 0] < CUT))
 
     return docs.mapInArrow(task, docs.schema)
