@@ -80,7 +80,7 @@ def pattern(rule: Column) -> Column:
 
 def decoded(p: Column) -> Column:
     """Percent-decoded, or as it is where that fails; a plus stays a plus."""
-    return F.coalesce(F.try_url_decode(F.replace(p, F.lit("+"), F.lit("%2B"))), p)
+    return F.coalesce(F.try_url_decode(F.replace(p, F.lit('+'), F.lit('%2B'))), p)
 
 
 def allowed(robots: Column, url_path: Column, agent: Column, reference: bool = False) -> Column:
@@ -100,6 +100,6 @@ def allowed(robots: Column, url_path: Column, agent: Column, reference: bool = F
         mine = F.when(F.size(own) > 0, own).otherwise(F.filter(groups, star))
     rules = F.flatten(F.transform(mine, lambda g: g["rules"]))
     p = decoded(url_path)
-    hit = F.filter(rules, lambda r: p.rlike(pattern(decoded(r["path"]))) & (F.lit(reference) | (r["path"] != "")))
+    hit = F.filter(rules, lambda r: F.rlike(p, pattern(decoded(r["path"]))) & (F.lit(reference) | (r["path"] != "")))
     ranked = F.transform(hit, lambda r: F.struct(F.length(F.replace(decoded(r["path"]), F.lit("*"), F.lit(""))).alias("n"), r["allow"].alias("allow")))
     return F.coalesce(F.array_max(ranked)["allow"], F.lit(True))
