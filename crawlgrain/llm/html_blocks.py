@@ -15,6 +15,8 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from crawlgrain.llm.cluster import tidied
+
 SCHEMA = "page_id long, url string, text string"
 
 # Elements of HTML by what they mean for extraction.
@@ -53,6 +55,7 @@ class Rules:
     stop_low: float = 0.15
     stop_high: float = 0.28
     links: float = 0.3
+    article_links: float = 0.8
     reach: int = 200  # blocks of the same page that a heading may look ahead
 
 
@@ -186,10 +189,8 @@ def classify(blocks: list[Block], rules: Rules) -> None:
     """Pass one: good, bad, near (almost good) or short, by the block alone."""
     for b in blocks:
         n = len(b.text)
-        if b.boiler or b.link_chars > rules.links * n:
-            b.label = "bad"
-            continue
-        if b.text[0] == "©" and n < rules.long:
+        links = b.link_chars > (rules.article_links if b.article else rules.links) * n and not (b.article and b.tag in _HEADINGS)
+        if b.boiler or links or (b.text[0] == "©" and n < rules.long and not b.article):
             b.label = "bad"
             continue
         if n < rules.short:
@@ -200,7 +201,7 @@ def classify(blocks: list[Block], rules: Rules) -> None:
         if stops >= rules.stop_high:
             b.label = "good" if n > rules.long else "near"
         else:
-            b.label = "near" if stops >= rules.stop_low else "bad" if n < rules.long or not b.article else "near"
+            b.label = "near" if stops >= rules.stop_low or b.article else "bad"
 
 
 def inherit(blocks: list[Block], rules: Rules) -> list[bool]:
@@ -265,4 +266,4 @@ def extract(pages: DataFrame, rules: Rules = Rules(), id_column: str = "page_id"
             texts = [main_text(x.as_py(), rules) for x in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
-    return pages.select(pages[id_column].cast("long"), pages[url_column].cast("string"), pages[html_column].cast("string")).mapInArrow(task, SCHEMA)
+    return pages.select(pages[id_column].cast("long"), pages[url_column].cast("string"), pages[html_column].cast("string")).mapInArrow(tidied(task), SCHEMA)
