@@ -17,18 +17,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crawlgrain.llm.cluster import durable, parts, whole_groups
+from crawlgrain.llm.cluster import durable, parts, tidied, whole_groups
 from crawlgrain.llm.components import connected_components
 
 
 @dataclass(frozen=True)
 class PivotIndex:
-    """Parameters: pivots is the size of the sample that the index is fitted on.
+    """Parameters: the index is fitted on `sample` vectors, the smallest hashes of their ids.
 
-    nearest of them describe a vector; block is the longest list compared at once.
+    Of these at most `pivots` are kept, with cosines below `apart`; nearest of them
+    describe a vector; block is the longest list compared at once.
     """
 
+    sample: int = 2048
     pivots: int = 256
+    apart: float = 0.6
     nearest: int = 6
     threshold: float = 0.95
     block: int = 1500
@@ -46,6 +49,21 @@ def valid(vector: str) -> F.Column:
     return F.coalesce(v.isNotNull() & (F.size(v) > 0) & fine & F.exists(v, lambda x: x != 0), F.lit(False))
 
 
+def _spread(sample: np.ndarray, p: PivotIndex) -> np.ndarray:
+    """Up to p.pivots vectors of the sample, none near another.
+
+    Pivots inside one dense group would all be at about the same distance from its
+    members, and their order mere noise.
+    """
+    chosen: list[int] = []
+    for i in range(len(sample)):
+        if len(chosen) == p.pivots:
+            break
+        if not chosen or (sample[chosen] @ sample[i]).max() < p.apart:
+            chosen.append(i)
+    return sample[chosen]
+
+
 def _two(lists: np.ndarray, others: np.ndarray, n_pivots: int) -> np.ndarray:
     """Of each row pair of sorted pivot lists, the first two shared pivots as one key."""
     shared = (lists[:, :, None] == others[:, None, :]).any(axis=2)
@@ -87,8 +105,8 @@ def links(vectors: DataFrame, p: PivotIndex = PivotIndex()) -> DataFrame:
 
 
 def _links(vectors: DataFrame, d: int, p: PivotIndex) -> DataFrame:
-    sample = vectors.orderBy(F.xxhash64("node"), "node").limit(p.pivots).select("embedding").toArrow()
-    pivots = _unit(sample.column(0).combine_chunks(), d)
+    sample = vectors.orderBy(F.xxhash64("node"), "node").limit(p.sample).select("embedding").toArrow()
+    pivots = _spread(_unit(sample.column(0).combine_chunks(), d), p)
     k = min(p.nearest, len(pivots))
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,7 +115,7 @@ def _links(vectors: DataFrame, d: int, p: PivotIndex) -> DataFrame:
             near = np.sort(np.argpartition(-(x @ pivots.T), k - 1, axis=1)[:, :k], axis=1) if k else np.zeros((len(x), 0), dtype=np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("copies"), batch.column("embedding"), pa.array(list(near.astype(np.int32)), pa.list_(pa.int32()))], ["node", "copies", "embedding", "near"])
 
-    index = durable(vectors.select("node", "copies", F.col("embedding").cast("array<float>")).mapInArrow(describe, "node long, copies long, embedding array<float>, near array<int>"))
+    index = durable(vectors.select("node", "copies", F.col("embedding").cast("array<float>")).mapInArrow(tidied(describe), "node long, copies long, embedding array<float>, near array<int>"))
     # every two of a vector's pivots, and the first alone where there is only one pivot at all
     n = F.lit(p.pivots)
     keys = F.expr(f"flatten(transform(near, (a, i) -> transform(slice(near, i + 2, {p.nearest}), b -> a * {p.pivots} + b)))") if k > 1 else F.array(F.col("near")[0] * n)
@@ -141,7 +159,7 @@ def _links(vectors: DataFrame, d: int, p: PivotIndex) -> DataFrame:
                 other, none = np.concatenate(others), np.concatenate([o == -1 for o in others])
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(nodes)), pa.array(np.concatenate(sums)), pa.array(other, mask=none)], ["node", "n_links", "other"])
 
-    return dealt.repartition(parts(vectors.sparkSession), "work").sortWithinPartitions("work").mapInArrow(verify, "node long, n_links long, other long")
+    return dealt.repartition(parts(vectors.sparkSession), "work").sortWithinPartitions("work").mapInArrow(tidied(verify), "node long, n_links long, other long")
 
 
 def _roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
