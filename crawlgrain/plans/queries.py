@@ -8,6 +8,7 @@ failures.
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -205,10 +206,10 @@ _SITEMAP = "<?xml version='1.0'?><urlset xmlns='http://www.sitemaps.org/schemas/
 
 @_query("""
 SELECT * FROM (VALUES
-  ('https://a.example/s.xml', 'https://a.example/', TIMESTAMPTZ '2024-01-02 00:00:00+00', 'daily', CAST(0.8 AS DOUBLE)),
-  ('https://a.example/s.xml', 'https://a.example/b', TIMESTAMPTZ '2024-01-02 02:04:05+00', NULL, NULL),
+  ('https://a.example/s.xml', 'https://a.example/', TIMESTAMP '2024-01-02 00:00:00', 'daily', CAST(0.8 AS DOUBLE)),
+  ('https://a.example/s.xml', 'https://a.example/b', TIMESTAMP '2024-01-02 02:04:05', NULL, NULL),
   ('https://a.example/s.xml', 'https://a.example/c', NULL, NULL, NULL)) AS t(sitemap, loc, lastmod, changefreq, priority)
-""".replace("TIMESTAMPTZ '2024-01-02 00:00:00+00'", "TIMESTAMP '2024-01-02 00:00:00'").replace("TIMESTAMPTZ '2024-01-02 02:04:05+00'", "TIMESTAMP '2024-01-02 02:04:05'"))
+""")
 def sitemap_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = "<sitemapindex><sitemap><loc>https://a.example/s.xml</loc></sitemap></sitemapindex>"
     raw = spark.createDataFrame([("https://a.example/sitemap.xml", index), ("https://a.example/s.xml", _SITEMAP)], "url string, body string")
@@ -438,7 +439,8 @@ def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("SELECT event_type, count(*) AS n FROM events GROUP BY 1")
 def stream_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The running counters after the stream has read all there is."""
-    where = tempfile.mkdtemp() if not spark.conf.get("spark.checkpoint.dir", None) else f"{spark.conf.get('spark.checkpoint.dir')}/stream-{abs(hash(sf_dir))}-{F.__name__}"
+    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
+    where = f"{shared}/stream-{uuid.uuid4().hex}"
     return E.run_once(E.counters(_stream(spark, sf_dir)), where, "stream_counters_result").select("event_type", "n")
 
 
