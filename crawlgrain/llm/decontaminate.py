@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crawlgrain.llm import words as W
-from crawlgrain.llm.cluster import text_bytes
+from crawlgrain.llm.cluster import text_bytes, tidied
 
 U64 = np.uint64
 SEED_WORDS = 5
@@ -118,7 +118,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
             for batch in batches:
                 yield _match(batch.column(0), batch.column(1), seeds, coverage)
 
-        return docs.select(docs[id_column].cast("long"), docs[text_column].cast("string")).mapInArrow(task, SCHEMA)
+        return docs.select(docs[id_column].cast("long"), docs[text_column].cast("string")).mapInArrow(tidied(task), SCHEMA)
 
     return reduce(DataFrame.unionByName, map(one, _parts(benchmark, seed, part_bytes)))
 
@@ -136,7 +136,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, see
                 keep[hit] = False
                 yield batch.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(task, schema)
+        docs = docs.mapInArrow(tidied(task), schema)
     return docs
 
 
@@ -149,23 +149,31 @@ def _parts(benchmark: DataFrame, seed: int, part_bytes: int) -> Iterator[Seeds]:
 
 
 def _match(ids: pa.Array, texts: pa.Array, seeds: Seeds, coverage: float) -> pa.RecordBatch:
-    out: list[tuple] = []
-    w = _split(texts)
-    if len(w.starts) and len(seeds.hash):
-        at, h = W.windows(w.hashes()[0], w.doc, seeds.seed)
-        i, j = seeds.hits(h)
-        doc = w.doc[at[i]]
-        p, item, q = at[i] - np.searchsorted(w.doc, np.arange(w.n_docs))[doc], seeds.item[j], seeds.word[j]
-        keep = _pairs(doc, item, q, len(seeds.ids), seeds, coverage) if len(doc) else np.zeros(0, dtype=bool)
-        doc, p, item, q = doc[keep], p[keep], item[keep], q[keep]
-        order = np.lexsort((item, doc))
-        doc, p, item, q = doc[order], p[order], item[order], q[order]
-        heads = np.flatnonzero(np.concatenate([[True], (np.diff(doc) != 0) | (np.diff(item) != 0)])) if len(doc) else []
-        for a, b in zip(heads, [*heads[1:], len(doc)], strict=True):
-            found = tiles(p[a:b], q[a:b], seeds.seed)
-            share = sum(n for _, _, n in found) / int(seeds.words[item[a]])
-            if share >= coverage - 1e-12:
-                out.append((ids[int(doc[a])].as_py(), seeds.ids[int(item[a])], share, found))
+    out = [row for at, n in W.portions(texts) for row in _rows(ids.slice(at, n), texts.slice(at, n), seeds, coverage)]
     columns = list(zip(*out, strict=True)) or [()] * 4
     structs = [[{"doc_word": a, "item_word": b, "words": n} for a, b, n in x] for x in columns[3]]
     return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64()), pa.array(structs, _TILES)], ["doc_id", "item_id", "coverage", "tiles"])
+
+
+def _rows(ids: pa.Array, texts: pa.Array, seeds: Seeds, coverage: float) -> list[tuple]:
+    out: list[tuple] = []
+    w = _split(texts)
+    if not len(w.starts) or not len(seeds.hash):
+        return out
+    at, h = W.windows(w.hashes()[0], w.doc, seeds.seed)
+    i, j = seeds.hits(h)
+    if not len(i):
+        return out
+    doc = w.doc[at[i]]
+    p, item, q = at[i] - np.searchsorted(w.doc, np.arange(w.n_docs))[doc], seeds.item[j], seeds.word[j]
+    keep = _pairs(doc, item, q, len(seeds.ids), seeds, coverage)
+    doc, p, item, q = doc[keep], p[keep], item[keep], q[keep]
+    order = np.lexsort((item, doc))
+    doc, p, item, q = doc[order], p[order], item[order], q[order]
+    heads = np.flatnonzero(np.concatenate([[True], (np.diff(doc) != 0) | (np.diff(item) != 0)])) if len(doc) else []
+    for a, b in zip(heads, [*heads[1:], len(doc)], strict=True):
+        found = tiles(p[a:b], q[a:b], seeds.seed)
+        share = sum(n for _, _, n in found) / int(seeds.words[item[a]])
+        if share >= coverage - 1e-12:
+            out.append((ids[int(doc[a])].as_py(), seeds.ids[int(item[a])], share, found))
+    return out

@@ -26,10 +26,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from crawlgrain.llm import words as W
+from crawlgrain.llm.cluster import tidied
 
 SCHEMA = "doc_id long, start long, length int, ids binary, doc_tokens long, sequence_id long, offset int, sequence_length int, step_group long"
-_WORDS_KEPT = 400_000
-_BYTES_AT_ONCE = 6 << 20
+_WORDS_KEPT = 300_000
+_BYTES_AT_ONCE = 3 << 20
 _MARKS = b".,;:!?%$&*#)"
 
 
@@ -239,16 +240,13 @@ def pack_documents(docs: DataFrame, packing: Packing, id_column: str = "doc_id",
         end = packing.end_id.to_bytes(4, "little")
         for batch in batches:
             texts = pc.fill_null(batch.column(1), "")
-            size = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64)
-            at = 0
-            while at < len(texts):
-                n = max(1, int(np.searchsorted(size, (size[at - 1] if at else 0) + _BYTES_AT_ONCE, "right")) - at)
+            for at, n in W.portions(texts, _BYTES_AT_ONCE):
                 ids, bounds = words.encode_all(texts.slice(at, n))
                 for doc_id, a, b in zip(batch.column(0).slice(at, n).to_pylist(), bounds.tolist(), bounds[1:].tolist(), strict=False):
                     packer.add(doc_id, ids[a:b].tobytes() + end)
-                at += n
                 yield packer.batch()
+        words.older = {}
         packer.close()
         yield packer.batch()
 
-    return docs.select(docs[id_column].cast("long"), docs[text_column].cast("string")).mapInArrow(task, SCHEMA)
+    return docs.select(docs[id_column].cast("long"), docs[text_column].cast("string")).mapInArrow(tidied(task), SCHEMA)

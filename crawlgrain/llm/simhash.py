@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from crawlgrain.llm.cluster import durable, whole_groups
+from crawlgrain.llm.cluster import durable, tidied, whole_groups
 from crawlgrain.llm.components import connected_components
 
 U64 = np.uint64
@@ -59,7 +59,7 @@ def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str =
             f = np.fromiter((fingerprint(t.as_py(), shingle) for t in texts), dtype=U64, count=len(texts))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(f.view(np.int64))], ["doc_id", "fingerprint"])
 
-    return docs.select(docs[id_column].cast("long").alias("doc_id"), docs[text_column].cast("string").alias("text")).mapInArrow(task, "doc_id long, fingerprint long")
+    return docs.select(docs[id_column].cast("long").alias("doc_id"), docs[text_column].cast("string").alias("text")).mapInArrow(tidied(task), "doc_id long, fingerprint long")
 
 
 def gray_rank(f: np.ndarray) -> np.ndarray:
@@ -163,7 +163,7 @@ def links(distinct: DataFrame, distance: int = 4, bucket_rows: int = _BUCKET) ->
             large = durable(sizes.select("bucket"))
             large = None if large.isEmpty() else large
         small = dealt if large is None else dealt.join(large, "bucket", "left_anti")
-        part = small.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(task, "a long, b long")
+        part = small.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(tidied(task), "a long, b long")
         found = part if found is None else found.unionByName(part)
         if large is None:
             return found
@@ -198,11 +198,11 @@ def one_of_each(docs: DataFrame, distance: int = 4, shingle: int = 4, id_column:
     Rows of a null id stay. Where an id is repeated, one of its rows stays.
     """
     found = near_duplicates(docs, distance, shingle, id_column, text_column)
-    kept = durable(found.where("doc_id = component_id").groupBy(F.col("doc_id").alias("kept_id")).agg(F.count("*").alias("n")))
-    out = docs.join(kept.select("kept_id"), docs[id_column] == F.col("kept_id"), "left_semi")
+    kept = durable(found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")))
     again = kept.where("n > 1")
+    out = docs.join(kept, docs[id_column] == kept["doc_id"], "left_semi")
     if not again.isEmpty():
-        many = out.join(again.select("kept_id"), out[id_column] == F.col("kept_id"), "left_semi").dropDuplicates([id_column])
-        out = out.join(again.select("kept_id"), out[id_column] == F.col("kept_id"), "left_anti").unionByName(many)
+        many = out.join(again, out[id_column] == again["doc_id"], "left_semi").dropDuplicates([id_column])
+        out = out.join(again, out[id_column] == again["doc_id"], "left_anti").unionByName(many)
     null = docs.where(docs[id_column].isNull())
     return out if null.isEmpty() else out.unionByName(null)

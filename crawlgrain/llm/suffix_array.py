@@ -16,12 +16,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from crawlgrain.llm import exchange as X
 from crawlgrain.llm import words as W
-from crawlgrain.llm.cluster import durable, parts
+from crawlgrain.llm.cluster import durable, parts, tidied
 from crawlgrain.llm.substring_dedup import _NO_ID, _ids, _other_groups
 
 U64 = np.uint64
@@ -162,29 +163,33 @@ def _neighbours(rows: DataFrame, window: int) -> DataFrame:
     def one(t: pa.Table, cut: int, last: bool) -> Iterator[pa.RecordBatch]:
         m = _matches(t, window)
         nothing = pa.nulls(m.num_rows, pa.binary())
-        yield from pa.table([*m.columns, pa.nulls(m.num_rows, pa.int64()), nothing, nothing, pa.nulls(m.num_rows, pa.int64())], names=names).to_batches()
-        ends = ([0] if cut == 0 else []) + ([t.num_rows] if last else [])
-        for at in ends:  # rows at the task's own ends meet the next task's
-            e = t.slice(0, _EDGES) if at == 0 else t.slice(max(0, at - _EDGES))
-            none = pa.nulls(e.num_rows, pa.int32())
-            yield from pa.table([e.column("grp"), e.column("sid"), none, none, e.column("gram"), e.column("rightward"), e.column("leftward"), e.column("doc")], names=names).to_batches()
+        yield from pa.table([*m.columns, pa.nulls(m.num_rows, pa.int64()), nothing, nothing, *[pa.nulls(m.num_rows, pa.int64())] * 2], names=names).to_batches()
+        own = TaskContext.get().partitionId()
+        # rows at a task's ends meet those of the task before and the task after
+        for end in ([0] if cut == 0 else []) + ([1] if last else []):
+            e = t.slice(max(0, t.num_rows - _EDGES)) if end else t.slice(0, _EDGES)
+            none, at = pa.nulls(e.num_rows, pa.int32()), pa.array(np.full(e.num_rows, 2 * own + end))
+            yield from pa.table([e.column("grp"), e.column("sid"), none, none, e.column("gram"), e.column("rightward"), e.column("leftward"), e.column("doc"), at], names=names).to_batches()
 
-    names = ["grp", "sid", "leftward", "rightward", "gram", "r", "l", "doc"]
-    schema = "grp int, sid int, leftward int, rightward int, gram long, r binary, l binary, doc long"
+    names = ["grp", "sid", "leftward", "rightward", "gram", "r", "l", "doc", "end"]
+    schema = "grp int, sid int, leftward int, rightward int, gram long, r binary, l binary, doc long, end long"
 
     def at_edges(table: pa.Table) -> pa.Table:
-        return _matches(table.rename_columns(["grp", "sid", "gram", "rightward", "leftward", "doc"]), window)
+        return _matches(table.drop_columns(["meeting"]).rename_columns(["grp", "sid", "gram", "rightward", "leftward", "doc"]), window)
 
     found = None
     for side, other in (("rightward", "leftward"), ("leftward", "rightward")):
         order = ["gram", side, other]
         if found is not None:  # a gram that stands at a cut may go on beyond it: those alone are sorted from the other side
             rows = rows.join(F.broadcast(edges.select("gram").distinct()), "gram", "left_semi").select("grp", "sid", "gram", "rightward", "leftward", "doc")  # at most 2 * _EDGES grams a task
-        got = durable(rows.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(task, schema))
+        got = durable(rows.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(tidied(task), schema))
         edges = got.where("leftward is null")
         part = got.where("leftward is not null").select("grp", "sid", "leftward", "rightward")
-        # suffixes at the ends, by gram: a few from each task
-        across = edges.select("grp", "sid", "gram", "r", "l", "doc").groupBy("gram").applyInArrow(at_edges, _MATCH)
+        # the end of a task meets the start of the next that has rows: a few suffixes at each meeting
+        tasks = sorted(r["t"] for r in edges.select(F.shiftright("end", 1).alias("t")).distinct().collect())  # at most as many as tasks
+        rank = spark.createDataFrame([(t, k) for k, t in enumerate(tasks)], "t long, rank long")
+        met = edges.join(F.broadcast(rank), F.shiftright("end", 1) == F.col("t")).withColumn("meeting", F.col("rank") + F.col("end") % 2)
+        across = met.select("meeting", "grp", "sid", "gram", "r", "l", "doc").groupBy("meeting").applyInArrow(at_edges, _MATCH)
         part = part.unionByName(across)
         found = part if found is None else found.unionByName(part)
     return found

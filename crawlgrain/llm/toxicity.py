@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crawlgrain.llm import words as W
+from crawlgrain.llm.cluster import tidied
 
 U64 = np.uint64
 HASH_BITS = 20
@@ -52,6 +53,10 @@ class OrdinalModel:
 
     def scores(self, texts: pa.Array) -> np.ndarray:
         """w x of every text: the sum over its features of weight times 1 + log(count)."""
+        parts = [self._scores(texts.slice(at, n)) for at, n in W.portions(texts)]
+        return np.concatenate(parts) if parts else np.zeros(0)
+
+    def _scores(self, texts: pa.Array) -> np.ndarray:
         w, ids = _features(texts)
         out = np.zeros(w.n_docs)
         docs, found = [], []
@@ -101,7 +106,7 @@ def fit_ordinal(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, grades:
 
 def _sample_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of each labelled text: distinct features, their counts, signatures of its runs of _RUN words."""
-    for batch in batches:
+    for batch in (b.slice(at, n) for b in batches for at, n in W.portions(b.column("text"))):
         w, ids = _features(batch.column("text"))
         at, h = W.windows(w.hashes()[0], w.doc, _RUN)
         of = w.doc[at]
@@ -134,7 +139,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, grade_column:
     few = [known.where(F.col("toxic") == k).dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for k in (0, 1)]
     picked = F.broadcast(few[0].unionByName(few[1]))  # at most 2 * sample rows of three numbers
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(picked, "doc_id").select("doc_id", "text", "toxic", "grade")
-    got = texts.mapInArrow(_sample_task, "doc_id long, toxic int, grade int, feats array<int>, counts array<int>, signs array<long>").toArrow().sort_by([("doc_id", "ascending")])
+    got = texts.mapInArrow(tidied(_sample_task), "doc_id long, toxic int, grade int, feats array<int>, counts array<int>, signs array<long>").toArrow().sort_by([("doc_id", "ascending")])
     toxic, kept, seen = got.column("toxic").to_numpy(), [], set()
     for i, signs in enumerate(got.column("signs").to_pylist()):
         marks = {(k, x) for k, x in enumerate(signs)}
@@ -191,7 +196,7 @@ def score(docs: DataFrame, model: OrdinalModel, id_column: str = "doc_id", text_
             grade = (p >= 0.5).sum(axis=1).astype(np.int32)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p.sum(axis=1)), pa.array(p[:, 0]), pa.array(grade), pa.array(p[:, 0] >= CUT)], [x.split()[0] for x in SCHEMA.split(", ")])
 
-    return docs.select(docs[id_column].cast("long"), docs[text_column].cast("string")).mapInArrow(task, SCHEMA)
+    return docs.select(docs[id_column].cast("long"), docs[text_column].cast("string")).mapInArrow(tidied(task), SCHEMA)
 
 
 def without_toxic(docs: DataFrame, model: OrdinalModel, text_column: str = "text") -> DataFrame:
@@ -202,4 +207,4 @@ def without_toxic(docs: DataFrame, model: OrdinalModel, text_column: str = "text
             texts = batch.column(batch.schema.names.index(text_column)).cast(pa.string())
             yield batch.filter(pa.array(model.exceed(model.scores(texts))[:, 0] < CUT))
 
-    return docs.mapInArrow(task, docs.schema)
+    return docs.mapInArrow(tidied(task), docs.schema)

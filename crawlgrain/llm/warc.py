@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from crawlgrain.llm.cluster import checkpoint_dir, durable
+from crawlgrain.llm.cluster import checkpoint_dir, durable, tidied
 
 MAGIC = b"WARC/1.0\r\n"
 _END = b"\r\n\r\n"
@@ -128,7 +128,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     each file's start reaches; a chain ends at its first broken record, and what stands
     before a file's first magic breaks it at once. Files without a record give no rows.
     """
-    found = durable(_absolute(_pieces(spark, path).mapInArrow(_candidates, _CANDIDATE)))
+    found = durable(_absolute(_pieces(spark, path).mapInArrow(tidied(_candidates), _CANDIDATE)))
     real = found.where("succ is not null").withColumn("next", F.col("at") + F.col("succ"))
     order = Window.partitionBy("file", "block").orderBy("rel")
     touching = F.lag("next").over(order) == F.col("at")
@@ -189,7 +189,7 @@ def _joined(spark: SparkSession, path: str, found: DataFrame, split: DataFrame)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rel, pa.int64()), pa.array(size, pa.int64())], ["file", "block", "tail", "rel", "size"])
 
     files = split.select("file").distinct()
-    pieces = _pieces(spark, path).mapInArrow(sized, "file string, block long, tail binary, rel long, size long")
+    pieces = _pieces(spark, path).mapInArrow(tidied(sized), "file string, block long, tail binary, rel long, size long")
     base = found.groupBy("file", "block").agg((F.min("at") - F.min("rel")).alias("base"))
     pieces = pieces.join(files, "file", "left_semi").join(base, ["file", "block"]).select("file", (F.col("base") + F.col("rel")).alias("piece"), "tail")
     near = pieces.join(split.select("file", "at", "succ", "payload_at"), "file").where((F.col("piece") >= F.col("at")) & (F.col("piece") < F.col("at") + F.col("succ")))

@@ -7,6 +7,7 @@ every sub-range costs one subtraction on a prefix sum, and are then mixed.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -125,6 +126,16 @@ def split(texts: pa.Array, separators: np.ndarray = WHITE) -> Words:
     return Words(buf, starts, ends, np.searchsorted(begins, starts, "right") - 1, n)
 
 
+def portions(texts: pa.Array, limit: int = 2 << 20) -> Iterator[tuple[int, int]]:
+    """(start, count) of runs of texts of about `limit` bytes at most; a longer text is a run of its own."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < len(size):
+        n = max(1, int(np.searchsorted(size, (size[at - 1] if at else 0) + limit, "right")) - at)
+        yield at, n
+        at += n
+
+
 def windows(hashes: np.ndarray, doc: np.ndarray, size: int, seed: int = 2) -> tuple[np.ndarray, np.ndarray]:
     """(positions, hashes) of all windows of `size` words inside one text."""
     n = len(hashes) - size + 1
