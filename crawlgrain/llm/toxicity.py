@@ -146,7 +146,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, grade_column:
         if not marks & seen:
             kept.append(i)
         seen |= marks
-    got, toxic = got.take(kept), toxic[kept] if len(toxic) else toxic
+    rows_kept = np.array(kept, dtype=np.int64)
+    got, toxic = got.take(pa.array(rows_kept)), toxic[rows_kept]
     n_toxic, n_clean = int((toxic == 1).sum()), int((toxic == 0).sum())
     none = OrdinalModel(np.zeros(1 << HASH_BITS), np.array([50.0]))
     if not n_toxic or not n_clean:
