@@ -16,6 +16,7 @@ Step groups hold sequences of one length, and the same number of tokens each.
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import chain
@@ -238,6 +239,7 @@ def pack_documents(docs: DataFrame, packing: Packing, id_column: str = "doc_id",
         words = encoder(packing.tokenizer)
         packer = Packer(packing, TaskContext.get().partitionId())
         end = packing.end_id.to_bytes(4, "little")
+        gc.disable()  # nothing here is cyclic; passes over all known words would only take time
         for batch in batches:
             texts = pc.fill_null(batch.column(1), "")
             for at, n in W.portions(texts, _BYTES_AT_ONCE):
@@ -246,6 +248,7 @@ def pack_documents(docs: DataFrame, packing: Packing, id_column: str = "doc_id",
                     packer.add(doc_id, ids[a:b].tobytes() + end)
                 yield packer.batch()
         words.older = {}
+        gc.enable()
         packer.close()
         yield packer.batch()
 
