@@ -21,7 +21,10 @@ def anchors(crawled: DataFrame, seeds: list[str] | None = None, config: CrawlCon
     """
     base = F.coalesce("final_url", "url")
     rows = crawled.select("session_id", F.col("normalized_url").alias("source_url"), base.alias("base"), F.posexplode(F.filter("page_links", lambda x: x["tag"] == "a")).alias("pos", "link"))
-    rows = rows.withColumn("target_url", urls.normalize(F.col("link.url"), F.col("base"), config)).where("target_url is not null")
+    # resolved in a step of its own: normalize() names its argument many times
+    ref = urls.trimmed(F.col("link.url"))
+    rows = rows.withColumn("resolved", F.when(ref != "", urls.resolve(ref, F.col("base"))))
+    rows = rows.withColumn("target_url", urls.normalize(F.col("resolved"), config=config)).where("target_url is not null")
     internal = F.lit(True) if seeds is None else urls.is_internal(F.col("target_url"), F.array(*map(F.lit, seeds)), config)
     if seeds is None:
         internal = urls.in_scope(F.col("target_url"), F.col("source_url"), config)
