@@ -4,10 +4,12 @@ Suffixes start at content-selected positions alone: the smallest of the eight-wo
 grams in every run of `window` words. Equal runs select the same gram, so suffixes
 that could match meet. Kept suffixes are those whose gram another document has; they
 carry the words that can still belong to a run with the gram, to the right and to the
-left. Sorted by gram and right context, and by gram and left context, neighbours are
-compared, matches extended in both directions, and kept if they reach `window` words.
-The order is cut by ranges of whole sort keys, so a gram in a third of all documents is
-dealt to many tasks; what stands at the cuts is compared once more.
+left. Sorted by gram and right context, and by gram and left context, a suffix is
+compared with its nearest of other documents, matches extended in both directions, and
+kept if they reach `window` words. Where others might reach further, windows are hashed
+and compared. The order is cut by ranges of whole sort keys, so a gram in a third of all
+documents is dealt to many tasks; the windows of grams that stand at cuts are compared
+by their hashes alone.
 """
 
 from __future__ import annotations
@@ -16,7 +18,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,12 +29,11 @@ from crawlgrain.llm.substring_dedup import _NO_ID, _ids, _other_groups
 U64 = np.uint64
 GRAM = 8
 WINDOW = 50
-#: Neighbours on each side that a suffix is compared with, in either order.
-NEAR = 4
+#: Suffixes that a task holds at once.
+PIECE = 60_000
 _SUFFIX = "grp int, sid int, gram long, rightward binary, leftward binary, doc long, full_left int, full_right int, here boolean, members array<struct<row:int,doc_id:long,at:int>>"
 _MEMBERS = pa.list_(pa.struct([("row", pa.int32()), ("doc_id", pa.int64()), ("at", pa.int32())]))
 _MATCH = "grp int, sid int, leftward int, rightward int"
-_EDGES = 16
 
 
 def _sliding(values: np.ndarray, size: int, f: np.ufunc, fill: int) -> np.ndarray:
@@ -114,18 +114,68 @@ def _common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return differ.argmax(axis=1)
 
 
-def _compare(gram: np.ndarray, right: np.ndarray, left: np.ndarray, doc: np.ndarray, order: np.ndarray, need: int, best: tuple[np.ndarray, np.ndarray]) -> None:
-    """Extends each suffix by its neighbours in an order; best gets the furthest valid match to the left and right."""
-    for d in range(1, NEAR + 1):
-        for at in range(0, len(order) - d, 50_000):
-            i, j = order[at : min(at + 50_000, len(order) - d)], order[at + d : at + 50_000 + d]
-            same = (gram[i] == gram[j]) & (doc[i] != doc[j])
-            i, j = i[same], j[same]
-            r, s = _common(right[i], right[j]), _common(left[i], left[j])
-            enough = r + s >= need
-            for x in (i[enough], j[enough]):
-                np.maximum.at(best[0], x, s[enough])
-                np.maximum.at(best[1], x, r[enough])
+def _reaches(gram: np.ndarray, right: np.ndarray, left: np.ndarray, doc: np.ndarray, need: int) -> tuple[np.ndarray, np.ndarray]:
+    """(2, n) each, left then right: the furthest match found, and how far suffixes of other documents reach at most.
+
+    A suffix is compared with the nearest ones of another document on both sides of
+    its place in either order. None has a longer equal context on the order's side.
+    """
+    n = len(gram)
+    best, most = np.full((2, n), -1, dtype=np.int64), np.zeros((2, n), dtype=np.int64)
+    for side, marks in enumerate((left, right)):
+        big = np.ascontiguousarray(marks.astype(">u2")).view(f"S{2 * marks.shape[1]}").ravel()
+        order = np.lexsort((big, gram))
+        g, d = gram[order], doc[order]
+        new = np.concatenate([[True], (g[1:] != g[:-1]) | (d[1:] != d[:-1])]) if n else np.zeros(0, dtype=bool)
+        run, starts = np.cumsum(new) - 1, np.flatnonzero(new)
+        for other in (starts[run] - 1, np.append(starts[1:], n)[run]):
+            at = np.flatnonzero((other >= 0) & (other < n))
+            at = at[g[at] == g[other[at]]]
+            for lo in range(0, len(at), 50_000):
+                p = at[lo : lo + 50_000]
+                i, j = order[p], order[other[p]]
+                reach = np.stack([_common(left[i], left[j]), _common(right[i], right[j])])
+                most[side, i] = np.maximum(most[side, i], reach[side])
+                enough = reach.sum(axis=0) >= need
+                best[:, i[enough]] = np.maximum(best[:, i[enough]], reach[:, enough])
+    return best, most
+
+
+class _Windows:
+    """The hashed windows around suffixes: those that reach at most `most` to the left and right of the gram."""
+
+    def __init__(self, gram: np.ndarray, right: np.ndarray, left: np.ndarray, most: np.ndarray, seed: int = 7):
+        need, p = right.shape[1], W.poly(seed)
+        first = np.maximum(0, need - most[1])
+        count = np.maximum(0, most[0] - first + 1)
+        self.row = np.repeat(np.arange(len(gram)), count)
+        self.leftward = np.arange(len(self.row)) - np.repeat(np.cumsum(count) - count - first, count)
+        self.rightward = need - self.leftward
+        self.hash = np.empty(len(self.row), dtype=U64)
+        bounds = np.concatenate([[0], np.cumsum(count)])
+        for lo in range(0, len(gram), 20_000):
+            hi = min(lo + 20_000, len(gram))
+            a, b = bounds[lo], bounds[hi]
+            flat = np.concatenate([left[lo:hi, ::-1], right[lo:hi]], axis=1).astype(U64).ravel()
+            begin = (self.row[a:b] - lo) * 2 * need + need - self.leftward[a:b]
+            whole = p.ranges(p.prefix(flat), begin, begin + need)
+            self.hash[a:b] = W.mix(W.mix(whole ^ gram.view(U64)[self.row[a:b]]) + self.leftward[a:b].astype(U64))
+
+    def distinct(self, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct hashes, a window of each, the hash's number of every window, and whether documents share the hash."""
+        order = np.argsort(self.hash, kind="stable")
+        h, ids = self.hash[order], doc[self.row[order]]
+        first = np.concatenate([[True], h[1:] != h[:-1]]) if len(h) else np.zeros(0, dtype=bool)
+        starts = np.flatnonzero(first)
+        back = np.empty(len(h), dtype=np.int64)
+        back[order] = np.cumsum(first) - 1
+        several = np.minimum.reduceat(ids, starts) != np.maximum.reduceat(ids, starts) if len(h) else np.zeros(0, dtype=bool)
+        return h[starts], order[starts], back, several
+
+    def reach(self, best: np.ndarray, rows: np.ndarray, shared: np.ndarray) -> None:
+        """best gets the furthest shared windows; `rows` are the places of the suffixes in it."""
+        np.maximum.at(best[0], rows[self.row[shared]], self.leftward[shared])
+        np.maximum.at(best[1], rows[self.row[shared]], self.rightward[shared])
 
 
 def _arrays(table: pa.Table, context: int) -> tuple[np.ndarray, ...]:
@@ -133,66 +183,92 @@ def _arrays(table: pa.Table, context: int) -> tuple[np.ndarray, ...]:
     return table.column("gram").to_numpy(), wide("rightward"), wide("leftward"), table.column("doc").to_numpy()
 
 
-def _matches(table: pa.Table, window: int) -> pa.Table:
-    """Matches (_MATCH) among suffixes, compared with their neighbours in both orders."""
-    gram, right, left, doc = _arrays(table, window - GRAM)
-    best = np.full(len(gram), -1, dtype=np.int64), np.full(len(gram), -1, dtype=np.int64)
-    for side in (right, left):
-        big = np.ascontiguousarray(side.astype(">u2")).view(f"S{2 * side.shape[1]}").ravel()
-        _compare(gram, right, left, doc, np.lexsort((big, gram)), window - GRAM, best)
+def _found(table: pa.Table, best: np.ndarray) -> pa.Table:
     hit = np.flatnonzero(best[0] >= 0)
     return pa.table({"grp": table.column("grp").take(hit), "sid": table.column("sid").take(hit), "leftward": pa.array(best[0][hit], pa.int32()), "rightward": pa.array(best[1][hit], pa.int32())})
 
 
-def _neighbours(rows: DataFrame, window: int) -> DataFrame:
-    """Matches of all suffixes. Tasks take ranges of the sorted order in pieces of bounded size."""
-    spark = rows.sparkSession
-    n = parts(spark)
+def _matches(table: pa.Table, window: int) -> pa.Table:
+    """Matches (_MATCH) among all suffixes of some grams."""
+    gram, right, left, doc = _arrays(table, window - GRAM)
+    best, most = _reaches(gram, right, left, doc, window - GRAM)
+    likely = most.sum(axis=0) >= window - GRAM
+    # where the nearest don't reach as far as might be, a window may be shared with one that is near in neither order
+    rows = np.flatnonzero(likely & np.isin(gram, gram[likely & (best < most).any(axis=0)]))
+    if len(rows):
+        w = _Windows(gram[rows], right[rows], left[rows], most[:, rows])
+        _, _, back, several = w.distinct(doc[rows])
+        w.reach(best, rows, several[back])
+    return _found(table, best)
+
+
+def _held_elsewhere(table: pa.Table) -> pa.Table:
+    """A bit for each window of a bucket: another group has it too, by 96 bits of hash."""
+    heads, arrays = X.read_blocks(table, np.uint32)
+    values, check = (np.concatenate([a[k] for a in arrays]) for k in range(2))
+    order = np.lexsort((check, values))
+    v, c = values[order], check[order]
+    same = (v[1:] == v[:-1]) & (c[1:] == c[:-1])
+    yes = np.empty(len(values), dtype=bool)
+    yes[order] = np.concatenate([[False], same]) | np.concatenate([same, [False]])
+    return X.answer_table(X.answers(heads, yes, table.column("level")[0].as_py(), table.column("bucket")[0].as_py()))
+
+
+def _neighbours(rows: DataFrame, cut: X.Sizes, window: int) -> DataFrame:
+    """Matches of all suffixes. Tasks take ranges of the sorted order in pieces of bounded size.
+
+    A gram at either end of a piece may go on in another. Its suffixes are left to
+    the groups, which ask each other for all their windows.
+    """
+    piece = PIECE
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, cut = None, 0
+        held = None
         for batch in batches:
             t = pa.Table.from_batches([batch])
             held = t if held is None else pa.concat_tables([held, t])
-            if held.num_rows >= 60_000:
-                yield from one(held.combine_chunks(), cut, False)
-                held, cut = held.slice(held.num_rows - _EDGES), cut + 1  # what a piece ends with opens the next
-        if held is not None:
-            yield from one(held.combine_chunks(), cut, True)
-
-    def one(t: pa.Table, cut: int, last: bool) -> Iterator[pa.RecordBatch]:
-        m = _matches(t, window)
-        nothing = pa.nulls(m.num_rows, pa.binary())
-        yield from pa.table([*m.columns, pa.nulls(m.num_rows, pa.int64()), nothing, nothing, *[pa.nulls(m.num_rows, pa.int64())] * 2], names=names).to_batches()
-        own = TaskContext.get().partitionId()
-        # rows at a task's ends meet those of the task before and the task after
-        for end in ([0] if cut == 0 else []) + ([1] if last else []):
-            e = t.slice(max(0, t.num_rows - _EDGES)) if end else t.slice(0, _EDGES)
-            none, at = pa.nulls(e.num_rows, pa.int32()), pa.array(np.full(e.num_rows, 2 * own + end))
-            yield from pa.table([e.column("grp"), e.column("sid"), none, none, e.column("gram"), e.column("rightward"), e.column("leftward"), e.column("doc"), at], names=names).to_batches()
-
-    names = ["grp", "sid", "leftward", "rightward", "gram", "r", "l", "doc", "end"]
-    schema = "grp int, sid int, leftward int, rightward int, gram long, r binary, l binary, doc long, end long"
-
-    def at_edges(table: pa.Table) -> pa.Table:
-        return _matches(table.drop_columns(["meeting"]).rename_columns(["grp", "sid", "gram", "rightward", "leftward", "doc"]), window)
-
-    found = None
-    for side, other in (("rightward", "leftward"), ("leftward", "rightward")):
-        order = ["gram", side, other]
-        if found is not None:  # a gram that stands at a cut may go on beyond it: those alone are sorted from the other side
-            rows = rows.join(F.broadcast(edges.select("gram").distinct()), "gram", "left_semi").select("grp", "sid", "gram", "rightward", "leftward", "doc")  # at most 2 * _EDGES grams a task
-        got = durable(rows.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(tidied(task), schema))
-        edges = got.where("leftward is null")
-        part = got.where("leftward is not null").select("grp", "sid", "leftward", "rightward")
-        # the end of a task meets the start of the next that has rows: a few suffixes at each meeting
-        tasks = sorted(r["t"] for r in edges.select(F.shiftright("end", 1).alias("t")).distinct().collect())  # at most as many as tasks
-        rank = spark.createDataFrame([(t, k) for k, t in enumerate(tasks)], "t long, rank long")
-        met = edges.join(F.broadcast(rank), F.shiftright("end", 1) == F.col("t")).withColumn("meeting", F.col("rank") + F.col("end") % 2)
-        across = met.select("meeting", "grp", "sid", "gram", "r", "l", "doc").groupBy("meeting").applyInArrow(at_edges, _MATCH)
-        part = part.unionByName(across)
-        found = part if found is None else found.unionByName(part)
-    return found
+            while held.num_rows >= piece:
+                yield from one(held.slice(0, piece).combine_chunks())
+                held = held.slice(piece)
+        if held is not None and held.num_rows:
+            yield from one(held.combine_chunks())
+
+    def one(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        gram = t.column("gram").to_numpy()
+        ends = (gram == gram[0]) | (gram == gram[-1])
+        m, e = _matches(t.filter(pa.array(~ends)), window), t.filter(pa.array(ends))
+        none, nothing = pa.nulls(m.num_rows, pa.int64()), pa.nulls(m.num_rows, pa.binary())
+        yield from pa.table([*m.columns, none, nothing, nothing, none], names=names).to_batches()
+        none = pa.nulls(e.num_rows, pa.int32())
+        yield from pa.table([e.column("grp"), e.column("sid"), none, none, *(e.column(c) for c in ("gram", "rightward", "leftward", "doc"))], names=names).to_batches()
+
+    names = ["grp", "sid", "leftward", "rightward", "gram", "r", "l", "doc"]
+    schema = "grp int, sid int, leftward int, rightward int, gram long, r binary, l binary, doc long"
+
+    def windows(t: pa.Table, seed: int = 7) -> tuple[_Windows, np.ndarray]:
+        gram, right, left, doc = _arrays(t, window - GRAM)
+        return _Windows(gram, right, left, np.stack([(left != 0).sum(axis=1), (right != 0).sum(axis=1)]), seed), doc
+
+    def ask(t: pa.Table) -> pa.Table:
+        w, doc = windows(t)
+        values, one_each, _, _ = w.distinct(doc)
+        check = (windows(t, 3)[0].hash[one_each] >> U64(32)).astype(np.uint32)
+        return X.block_table(X.blocks(t.column("grp")[0].as_py(), 0, values, cut.buckets, 64, (check,)))
+
+    def told(t: pa.Table, a: pa.Table) -> pa.Table:
+        w, doc = windows(t) if t.num_rows else (None, None)
+        best = np.full((2, t.num_rows), -1, dtype=np.int64)
+        if w is not None:
+            values, _, back, several = w.distinct(doc)
+            w.reach(best, np.arange(t.num_rows), (X.read_answers(a, 0, values, cut.buckets, 64) | several)[back])
+        return _found(t, best)
+
+    order = ["gram", "rightward", "leftward"]
+    got = durable(rows.repartitionByRange(parts(rows.sparkSession), *order).sortWithinPartitions(*order).mapInArrow(tidied(task), schema))
+    cuts = got.where("leftward is null").select("grp", "sid", "gram", F.col("r").alias("rightward"), F.col("l").alias("leftward"), "doc").groupBy("grp")
+    answers = cuts.applyInArrow(ask, X.BLOCK).groupBy("bucket").applyInArrow(_held_elsewhere, X.ANSWER)
+    across = cuts.cogroup(answers.groupBy("grp")).applyInArrow(told, _MATCH)
+    return got.where("leftward is not null").select("grp", "sid", "leftward", "rightward").unionByName(across)
 
 
 def repeated_passages(docs: DataFrame, window: int = WINDOW, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -250,7 +326,7 @@ def repeated_passages(docs: DataFrame, window: int = WINDOW, id_column: str = "d
 
     answers = groups.applyInArrow(ask, X.BLOCK).groupBy("bucket").applyInArrow(_other_groups, X.ANSWER)
     suffixes = durable(groups.cogroup(answers.groupBy("grp")).applyInArrow(select, _SUFFIX))
-    matches = _neighbours(suffixes.select("grp", "sid", "gram", "rightward", "leftward", "doc"), window)
+    matches = _neighbours(suffixes.select("grp", "sid", "gram", "rightward", "leftward", "doc"), cut, window)
     whole = suffixes.where("here").select("grp", "sid", F.col("full_left").alias("leftward"), F.col("full_right").alias("rightward"))
     reach = matches.unionByName(whole).groupBy("grp", "sid").agg(F.max("leftward").alias("leftward"), F.max("rightward").alias("rightward"))
     spans = suffixes.select("grp", "sid", "members").join(reach, ["grp", "sid"]).select("grp", "leftward", "rightward", F.explode("members").alias("m"))

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 
 import pytest
@@ -87,3 +88,12 @@ def test_suffix_array_at_its_own_sizes(spark):
     rows = [(1, "a b " + text), (2, text + " c"), (3, " ".join(f"p{k}" for k in range(49))), (4, None), (5, "x " * 300), (6, text)]
     assert sorted(map(tuple, suffix_array.repeated_passages(docs(spark, rows)).collect())) == [(1, 2, 51), (2, 0, 51), (6, 0, 51)]
     assert suffix_array.repeated_passages(docs(spark, [])).collect() == []
+
+
+def test_suffix_array_finds_a_passage_many_times_in_one_document(spark):
+    r = random.Random(7)
+    passage = " ".join(f"p{k}" for k in range(60))
+    other = lambda n: " ".join(f"u{r.randrange(10**9)}" for _ in range(n))
+    rows = [(1, " ".join(f"{other(8)} {passage}" for _ in range(100))), (2, f"{other(30)} {passage} {other(30)}")]
+    got = sorted(map(tuple, suffix_array.repeated_passages(docs(spark, rows)).collect()))
+    assert len(got) == 101 and got == passages(rows, 50)
