@@ -97,3 +97,21 @@ def test_suffix_array_finds_a_passage_many_times_in_one_document(spark):
     rows = [(1, " ".join(f"{other(8)} {passage}" for _ in range(100))), (2, f"{other(30)} {passage} {other(30)}")]
     got = sorted(map(tuple, suffix_array.repeated_passages(docs(spark, rows)).collect()))
     assert len(got) == 101 and got == passages(rows, 50)
+
+
+def test_suffix_array_across_pieces(spark, monkeypatch):
+    monkeypatch.setattr(suffix_array, "PIECE", 20)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20")
+    r = random.Random(5)
+    rows = []
+    # many hold a line; pairs share the words before it and few after it, and others stand between them in right order
+    for line in range(12):
+        held = [f"l{line}.{k}" for k in range(8)]
+        for i in range(80):
+            before = [f"b{line}.{i // 2}.{k}" for k in range(11)]
+            rows.append((len(rows), " ".join([*before, *held, f"s{line}", *(f"x{r.randrange(10**9)}" for _ in range(12))])))
+    want = passages(rows, 20)
+    try:
+        assert len(want) == len(rows) and sorted(map(tuple, suffix_array.repeated_passages(docs(spark, rows), 20).collect())) == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
