@@ -18,12 +18,24 @@ DEFAULT_KEY = "change me"
 
 # The formats, in the order in which they are tried at a place.
 _EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
-_IBAN = r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
+#: Lengths of the IBAN registry, so that a word after an IBAN isn't taken for its end.
+_IBAN_COUNTRIES = {
+    15: "NO", 16: "BE", 18: "DK|FI|FK|FO|GL|NL|SD", 19: "MK|SI", 20: "AT|BA|EE|KZ|LT|LU|MN|XK", 21: "CH|HR|LI|LV", 22: "BG|BH|CR|DE|GB|GE|IE|ME|RS|VA",
+    23: "AE|GI|IL|IQ|OM|SO|TL", 24: "AD|CZ|ES|MD|PK|RO|SA|SE|SK|TN|VG", 25: "LY|PT|ST", 26: "IS|TR", 27: "BI|DJ|FR|GR|IT|MC|MR|SM", 28: "AL|AZ|BY|CY|DO|GT|HN|HU|LB|NI|PL|SV",
+    29: "BR|EG|PS|QA|UA", 30: "JO|KW|MU|YE", 31: "MT|SC", 32: "LC", 33: "RU",
+}
+_IBAN_BY_LENGTH = "|".join(rf"(?:{c})\d{{2}}(?: ?[A-Z0-9]{{4}}){{{n // 4 - 1}}}" + (rf" ?[A-Z0-9]{{{n % 4}}}" if n % 4 else "") for n, c in _IBAN_COUNTRIES.items())
+_IBAN = rf"(?:{_IBAN_BY_LENGTH}|[A-Z]{{2}}\d{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?)(?![A-Za-z0-9])"
 _DATE = r"(?:\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4})(?![\d/-])"
 _IP = r"(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?!\.?\d)"
 _SSN = r"\d{3}-\d{2}-\d{4}(?![\d-])"
-_PHONE = r"(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\d)"
 _CARD = r"(?:\d{13,19}|\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{1,7}|\d{4}[ -]\d{6}[ -]\d{5})(?!\d)"
+_LOCAL_PHONE = r"\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4}"
+#: A number that is whole as it stands, of 8 to 15 digits, doesn't go on with a group that begins another value.
+_ONE = r"[ .()-]{0,3}\d"
+_WHOLE = rf"(?<=\+{_ONE * 8}{f'(?:{_ONE}' * 7}{')?' * 7})"
+_NEXT = rf"(?!{_WHOLE} (?:{_EMAIL}|{_DATE}|{_IP}|{_SSN}|(?:{_LOCAL_PHONE})(?!\d)|{_CARD}(?! \d{{4}})))"
+_PHONE = rf"(?:\+1[ .-]?(?:\(\d{{3}}\)|\d{{3}})[ .-]?\d{{3}}[ .-]?\d{{4}}|\+\d{{1,3}}[ .-]?(?:\(\d{{1,4}}\)[ .-]?)?\d{{2,4}}(?:{_NEXT}[ .-]?\d{{2,4}}){{1,4}}{_WHOLE}|{_LOCAL_PHONE})(?!\d)"
 PATTERN = rf"(?<![A-Za-z0-9._%+@-])(?:{_EMAIL}|{_IBAN}|{_DATE}|{_IP}|{_SSN}|{_PHONE}|{_CARD})"
 
 #: Days of 400 Gregorian years from 1700 on, as a product.

@@ -104,3 +104,18 @@ def test_columns_and_plan(spark):
     assert pii.pseudonymise(table.limit(0)).collect() == []
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
+
+
+def test_adjacent_values(spark):
+    phones = ["+1 (826) 555-4081", "+49 30 1234567", "+44 20 7946 0958"]
+    ibans = ["BE71096123456769", "BE71 0961 2345 6769", "AT61 1904 3002 3457 3201", "ES91 2100 0418 4502 0005 1332"]
+    nexts = [("ip", "190.137.223.204"), ("date", "2019-05-03"), ("date", "12/31/1999"), ("ssn", "123-45-6789"), ("phone", "555-123-4567"), ("card", "4111 1111 1111 1111"), ("email", "123@mail.example.com")]
+    alone = [*phones, *ibans, *(v for _, v in nexts)]
+    pairs = [(p, v, ["phone", k]) for p in phones for k, v in nexts] + [(v, w, ["iban"]) for v in ibans for w in ("EUR", "BANK")] + [(phones[0], "2019", ["phone"])]
+    # short beginnings are no number of their own
+    whole = ["+33 61 12.34.56.78", "+49 30 123-45-6789"]
+    out, kinds = run(spark, [*alone, *(f"{a} {b}" for a, b, _ in pairs), *whole])
+    to = dict(zip(alone, out, strict=False))
+    for (a, b, want), text, found in zip(pairs, out[len(alone) :], kinds[len(alone) :], strict=False):
+        assert found == want and text == f"{to[a]} {to.get(b, b)}", (a, b, text)
+    assert kinds[-2:] == [["phone"]] * 2
