@@ -10,18 +10,34 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: A side of a join is broadcast up to so many bytes, by a count of its rows.
+BROADCAST_BYTES = 32 << 20
+#: Bits of the filter that stands in for a larger side: 32 MB at most.
+FILTER_BITS = 28
+_PAGE_BITS = 15  # of one row of Spark's bitmaps
+
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of the session; only where it names none, a folder of this machine (tests)."""
+    """The shared folder of the session; where it names none, a folder of this machine, in local mode alone (tests)."""
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="crawlgrain-"))
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="crawlgrain-"))
     return spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
 
 
+def removed(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of intermediate data."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def durable(df: DataFrame) -> DataFrame:
     """The rows, written to the shared folder: lost executors don't lose them, and they aren't computed twice."""
     checkpoint_dir(df.sparkSession)
@@ -35,6 +51,28 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def small(df: DataFrame, row_bytes: int, limit: int | None = None) -> bool:
+    """Whether a side of a join, counted, is within the bound of a broadcast."""
+    return df.count() * row_bytes <= (BROADCAST_BYTES if limit is None else limit)
+
+
+def parted(df: DataFrame, keys: DataFrame, key: Column) -> tuple[DataFrame, DataFrame]:
+    """(rows whose key is surely not among keys, rows whose key may be), by a filter of bounded size.
+
+    keys has one column, of longs that are hashes or spread like them; nulls match
+    nothing. The filter is a bitmap of at most 2 ** FILTER_BITS bits, joined by
+    broadcast in pages; rows aren't shuffled.
+    """
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << FILTER_BITS)).cast("long")
+    name = keys.columns[0]
+    placed = keys.select(place(F.col(name)).alias("_place"))
+    pages = placed.groupBy(F.shiftright("_place", _PAGE_BITS).alias("_page")).agg(F.bitmap_construct_agg(F.col("_place").bitwiseAND(F.lit((1 << _PAGE_BITS) - 1))).alias("_bits"))
+    byte = F.expr(f"cast(conv(hex(substring(_bits, cast(shiftright(_at & {(1 << _PAGE_BITS) - 1}, 3) as int) + 1, 1)), 16, 10) as int)")
+    hit = F.coalesce(F.call_function("shiftright", byte, F.expr("cast(_at & 7 as int)")).bitwiseAND(F.lit(1)) == 1, F.lit(False))
+    marked = df.withColumn("_at", place(key)).join(F.broadcast(pages), F.shiftright("_at", _PAGE_BITS) == F.col("_page"), "left").withColumn("_hit", hit).drop("_at", "_page", "_bits")
+    return marked.where(~F.col("_hit")).drop("_hit"), marked.where("_hit").drop("_hit")
+
+
 def text_bytes(df: DataFrame, column: str) -> int:
     """Bytes of a text column over all rows."""
     return df.agg(F.sum(F.octet_length(column)).alias("n")).first()["n"] or 0

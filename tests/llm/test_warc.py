@@ -80,3 +80,30 @@ def test_empty_and_repeated(spark):
     assert warc.round_trip(pages(spark, [])).collect() == []
     twice = warc.round_trip(pages(spark, [(1, "u", "y" * 1500), (1, "u", "y" * 1500), (0, "v", "y" * 1500)])).collect()
     assert sorted((x.page_id, x.record_type, x.payload_bytes) for x in twice) == [(0, "revisit", 1500), (1, "response", 1500), (1, "response", 1500)]
+
+
+def test_stated_digests_are_compared(spark, tmp_path):
+    def stated(i, payload, value, kind="response"):
+        return f"WARC/1.0\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <urn:page:{i}>\r\nWARC-Payload-Digest: {value}\r\nContent-Length: {len(payload)}\r\n\r\n".encode() + payload + b"\r\n\r\n"
+
+    import base64
+
+    raw = hashlib.sha1(b"one").digest()
+    cases = [("sha1:" + raw.hex(), True), ("SHA1:" + raw.hex().upper(), True), ("sha1:" + base64.b32encode(raw).decode(), True), ("sha1:" + "0" * 40, False), ("sha1:" + "A" * 32, False), ("md5:1", None)]
+    (tmp_path / "a.warc").write_bytes(b"".join(stated(k, b"one", v) for k, (v, _) in enumerate(cases)) + stated(99, b"", "sha1:" + raw.hex(), "revisit"))
+    got = {int(x.record_id[10:-1]): x.digest_ok for x in warc.read(spark, str(tmp_path)).collect()}
+    assert got == {k: ok for k, (_, ok) in enumerate(cases)} | {99: None}
+
+
+def test_many_repeated_digests_and_records_with_magics(spark, monkeypatch):
+    """Beyond the bounds of a broadcast and of files by name the results are the same."""
+    from crawlgrain.llm import cluster
+
+    rows = [(k, f"u{k}", f"{k % 7}" * 1500) for k in range(60)] + [(100 + k, "v", f"{k} " * 20 + "WARC/1.0\r\n" * (k % 40)) for k in range(120)] + [(None, "w", "0" * 1500)]
+    for bound in (cluster.BROADCAST_BYTES, 0):
+        monkeypatch.setattr(cluster, "BROADCAST_BYTES", bound)
+        monkeypatch.setattr(warc, "_FILES_BY_NAME", 1000 if bound else 0)
+        got = warc.round_trip(pages(spark, rows)).collect()
+        assert len(got) == len(rows)
+        assert {(x.page_id, x.payload_bytes, x.payload_digest, x.record_type, x.refers_to) for x in got if x.page_id is not None} == {x for x in expected(rows[:-1])}
+        assert all(x.digest_ok for x in got if x.record_type == "response")
