@@ -1,8 +1,11 @@
 """Main text of web pages by two passes of block rules.
 
 Pass one classifies each block on its own by length, link density and stop-word
-density, inside what the page's structure says of it; pass two gives undecided short
-blocks the label of the nearest decided neighbours.
+density; pass two gives undecided blocks the label of their nearest decided
+neighbours. Both run on every page. What the markup says of a block is one more
+feature: boilerplate elements and names decide against it, and inside an article
+element the limits are wider and undecided blocks are text unless their neighbours
+are not.
 """
 
 from __future__ import annotations
@@ -48,15 +51,16 @@ _NAME = re.compile(r"[a-z]+")
 
 @dataclass(frozen=True)
 class Rules:
-    """Limits of the two passes, in characters and shares."""
-
-    short: int = 70
-    long: int = 200
-    stop_low: float = 0.15
-    stop_high: float = 0.28
+    """Limits of the two passes, in characters and shares; article_*: of blocks inside an article element."""
+
+    short: int = 60
+    long: int = 140
+    notice: int = 200  # a line that begins with a copyright sign is a notice up to this length
+    stop_low: float = 0.1
+    stop_high: float = 0.22
+    article_stop_high: float = 0.1
     links: float = 0.3
     article_links: float = 0.8
-    reach: int = 200  # blocks of the same page that a heading may look ahead
 
 
 @dataclass
@@ -186,61 +190,64 @@ def read_blocks(page: str) -> list[Block]:
 
 
 def classify(blocks: list[Block], rules: Rules) -> None:
-    """Pass one: good, bad, near (almost good) or short, by the block alone."""
+    """Pass one, by the block alone.
+
+    out: boilerplate by the markup; bad: links, or a copyright line; short: too short to
+    tell; good, near, weak: by stop-word density (and length, for good).
+    """
     for b in blocks:
         n = len(b.text)
         links = b.link_chars > (rules.article_links if b.article else rules.links) * n and not (b.article and b.tag in _HEADINGS)
-        if b.boiler or links or (b.text[0] == "©" and n < rules.long and not b.article):
+        if b.boiler:
+            b.label = "out"
+        elif links or (b.text[0] == "©" and n < rules.notice and not b.article):
             b.label = "bad"
-            continue
-        if n < rules.short:
+        elif n < rules.short:
             b.label = "short"
-            continue
-        words = _WORD.findall(b.text.lower())
-        stops = sum(map(STOP_WORDS.__contains__, words)) / len(words) if words else 0.0
-        if stops >= rules.stop_high:
-            b.label = "good" if n > rules.long else "near"
         else:
-            b.label = "near" if stops >= rules.stop_low or b.article else "bad"
+            words = _WORD.findall(b.text.lower())
+            stops = sum(map(STOP_WORDS.__contains__, words)) / len(words) if words else 0.0
+            if stops >= (rules.article_stop_high if b.article else rules.stop_high) and (n > rules.long or b.article):
+                b.label = "good"
+            else:
+                b.label = "near" if stops >= rules.stop_low else "weak"
 
 
 def inherit(blocks: list[Block], rules: Rules) -> list[bool]:
     """Pass two: which blocks belong to the text.
 
-    A block inside an article element that is not bad is text. Elsewhere a short or
-    near block takes the label of its nearest decided neighbours: text between two good
-    ones; with one good and one bad neighbour near blocks are text; a heading is text
-    if a good block follows within reach. Where a page has an article element with
-    text, blocks outside any are no text.
+    Where a page has an article element with text, blocks outside any are none. Inside
+    one, a block that is undecided is text unless all of its nearest decided
+    neighbours there, before and after, are bad. On other pages near and weak blocks are
+    text beside a good one, short ones between two good ones, and a heading if a good one
+    follows; where no block is good, the near ones count as good, and without these the
+    weak ones.
     """
-    n = len(blocks)
-    inside = [b.article and not b.boiler for b in blocks]
-    if any(inside):
-        return [i and b.label != "bad" for i, b in zip(inside, blocks, strict=True)]
-    before, after = [""] * n, [""] * n
-    last = "bad"
-    for k in range(n):
-        before[k] = last
-        if blocks[k].label in ("good", "bad"):
-            last = blocks[k].label
-    last = "bad"
-    for k in range(n - 1, -1, -1):
-        after[k] = last
-        if blocks[k].label in ("good", "bad"):
-            last = blocks[k].label
-    # near blocks beside no decided text decide among themselves
-    any_good = any(b.label == "good" for b in blocks)
+    inside = [b.article and b.label != "out" for b in blocks]
+    region = any(i and b.label != "bad" for i, b in zip(inside, blocks, strict=True))
+    kinds = {b.label for i, b in zip(inside, blocks, strict=True) if i or not region}
+    best = next((k for k in ("good", "near", "weak") if k in kinds), "good")
+    decided = [None if region and not i else "good" if b.label == best else "bad" if b.label == "bad" or b.label == "out" and not region else None for i, b in zip(inside, blocks, strict=True)]
+    before, after = _nearest(decided), _nearest(decided[::-1])[::-1]
     out = []
-    for k, b in enumerate(blocks):
-        around = {before[k], after[k]}
-        if b.label in ("good", "bad"):
-            out.append(b.label == "good")
-        elif b.label == "near":
-            out.append("good" in around or not any_good)
-        elif b.tag in _HEADINGS:
-            out.append(after[k] == "good" or any(x.label == "near" and not any_good for x in blocks[k + 1 : k + 1 + rules.reach]))
+    for b, i, mine, x, y in zip(blocks, inside, decided, before, after, strict=True):
+        if region:
+            out.append(i and (mine == "good" or mine is None and ({x, y} - {None}) != {"bad"}))
+        elif mine:
+            out.append(mine == "good")
+        elif b.label in ("near", "weak"):
+            out.append("good" in (x, y))
         else:
-            out.append(around == {"good"})
+            out.append(y == "good" if b.tag in _HEADINGS else x == y == "good")
+    return out
+
+
+def _nearest(decided: list[str | None]) -> list[str | None]:
+    """Of each place, the last decided label before it."""
+    out, last = [], None
+    for label in decided:
+        out.append(last)
+        last = label or last
     return out
 
 

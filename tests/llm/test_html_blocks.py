@@ -55,16 +55,64 @@ def test_rows(spark):
     assert H.extract(table.limit(0)).collect() == []
 
 
+def driver_pages(spark):
+    try:
+        return [r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()]
+    except Exception:  # noqa: BLE001
+        pytest.skip("no test data")
+
+
+def article_blocks(html):
+    """The blocks of a test page's article, cut out by another way."""
+    import html as ref
+    import re
+
+    inner = re.search(r"<article>(.*)(?:</article>|\Z)", html, re.S)[1].split("</article>")[0]
+    blocks = [" ".join(ref.unescape(re.sub("<[^>]*>", "", x.replace("<br>", " "))).split()) for x in re.split(r"</?(?:p|h1|div)[^>]*>", inner)]
+    return [b for b in blocks if b]
+
+
 def test_driver_pages_match_their_article(spark):
     """Every block of the articles of the test pages, and nothing else of them."""
-    import html as ref
+    for html in driver_pages(spark):
+        assert H.main_text(html) == "\n".join(article_blocks(html))
+
+
+def plain(html):
+    """The page with nothing left of its markup that names the article or what surrounds it."""
     import re
 
-    try:
-        rows = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()
-    except Exception:  # noqa: BLE001
-        pytest.skip("no test data")
-    for r in rows:
-        inner = re.search(r"<article>(.*)(?:</article>|\Z)", r.html, re.S)[1].split("</article>")[0]
-        blocks = [" ".join(ref.unescape(re.sub("<[^>]*>", "", x.replace("<br>", " "))).split()) for x in re.split(r"</?(?:p|h1|div)[^>]*>", inner)]
-        assert H.main_text(r.html) == "\n".join(b for b in blocks if b)
+    html = re.sub(r"<(/?)(?:article|nav|aside|section|main|header|footer)\b[^>]*>", r"<\1div>", html)
+    return re.sub(r"\s(?:class|id|role)=\"[^\"]*\"", "", html)
+
+
+def test_density_links_and_neighbours_find_the_article_by_themselves(spark, monkeypatch):
+    from collections import Counter
+
+    def shares():
+        hit = found = due = 0
+        for html in driver_pages(spark):
+            got, want = Counter(H.main_text(plain(html)).split("\n")), Counter(article_blocks(html))
+            hit += sum(len(k) * n for k, n in (got & want).items())
+            found, due = found + sum(len(k) * n for k, n in got.items()), due + sum(len(k) * n for k, n in want.items())
+        return hit / due, hit / found
+
+    recall, precision = shares()
+    assert recall >= 0.98 and precision >= 0.98
+    monkeypatch.setattr(H, "STOP_WORDS", frozenset())
+    assert shares() != (recall, precision)
+
+
+def test_headings_look_as_far_ahead_as_the_page_goes():
+    short = "".join(f"<p>Item {k}</p>" for k in range(500))
+    assert H.main_text(page(f"<h2>Heading</h2>{short}<p>{LONG * 2}</p>")).startswith("Heading\n")
+    assert not H.main_text(page(f"<h2>Heading</h2>{short}<p><a href=x>{LONG * 2}</a></p><p>{LONG * 2}</p>")).startswith("Heading")
+
+
+def test_blocks_inside_an_article_follow_their_neighbours():
+    links = "<p>" + " ".join(f'<a href="/{k}">Some more linked words {k}</a>' for k in range(4)) + "</p>"
+    text = LONG.strip()
+    got = H.main_text(page(f"<article><p>{LONG}</p><p>Short.</p><p>{LONG}</p>{links}<p>Read on here</p>{links}<form>Name</form></article>"))
+    assert got == f"{text}\nShort.\n{text}"
+    unknown = "Zażółć gęślą jaźń kiedyś wreszcie mocno szybko bardzo powoli trudniej prościej zawsze nigdy często rzadko "
+    assert H.main_text(page(f"<article><h1>Tytuł</h1><p>{unknown}</p><p>Krótko.</p></article><footer>Stopka</footer>")) == f"Tytuł\n{unknown.strip()}\nKrótko."
