@@ -70,20 +70,29 @@ def gray_rank(f: np.ndarray) -> np.ndarray:
     return f
 
 
+def gray_order(bucket: np.ndarray, f: np.ndarray) -> np.ndarray:
+    """The order by bucket, then by the Gray ranks of the fingerprints' words."""
+    return np.lexsort((*(gray_rank(f[:, k]) for k in range(f.shape[1] - 1, -1, -1)), bucket))
+
+
+def _bits(x: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(x).sum(axis=1, dtype=np.int64) if x.shape[1] > 1 else np.bitwise_count(x[:, 0])
+
+
 def near_pairs(bucket: np.ndarray, f: np.ndarray, distance: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs (i < j) of one bucket with at most `distance` differing bits.
 
-    bucket and f are ordered by bucket, then by Gray rank.
+    f has a row of 64-bit words for each fingerprint; both are in gray_order().
     """
     levels = []  # from the leaves: (mask, pattern, first child, child count) of nodes inside one bucket
-    group, mask, pattern = bucket, np.full(len(f), ~U64(0)), f
+    group, mask, pattern = bucket, np.full(f.shape, ~U64(0)), f
     while True:
         start = np.concatenate([[True], group[1:] != group[:-1]])
         heads = np.flatnonzero(start)
         rank = np.arange(len(group)) - heads[np.cumsum(start) - 1]
         first = np.flatnonzero(rank % _FANOUT == 0)
         size = np.diff(np.append(first, len(group)))
-        ones, zeros = np.bitwise_and.reduceat(pattern & mask, first), np.bitwise_and.reduceat(~pattern & mask, first)
+        ones, zeros = np.bitwise_and.reduceat(pattern & mask, first, axis=0), np.bitwise_and.reduceat(~pattern & mask, first, axis=0)
         group, mask, pattern = group[first], ones | zeros, ones
         levels.append((mask, pattern, first, size))
         if len(np.unique(group)) == len(group):
@@ -91,19 +100,19 @@ def near_pairs(bucket: np.ndarray, f: np.ndarray, distance: int) -> Iterator[tup
     top = group
     low = np.searchsorted(top, bucket)  # the root of each fingerprint's bucket
     weight = np.searchsorted(bucket, top, "right") - np.searchsorted(bucket, top)
-    chunk = max(1, 2_000_000 // max(1, int(weight.max())))
+    chunk = max(1, 2_000_000 // (f.shape[1] * max(1, int(weight.max()))))
     for at in range(0, len(f), chunk):
         q = np.arange(at, min(at + chunk, len(f)))
         node = low[q]
         for mask, pattern, first, size in reversed(levels):
-            keep = np.bitwise_count((f[q] ^ pattern[node]) & mask[node]) <= distance
+            keep = _bits((f[q] ^ pattern[node]) & mask[node]) <= distance
             q, node = q[keep], node[keep]
             n = size[node]
             q = np.repeat(q, n)
             node = np.repeat(first[node] - (np.cumsum(n) - n), n) + np.arange(n.sum())
         keep = q < node
         q, node = q[keep], node[keep]
-        keep = np.bitwise_count(f[q] ^ f[node]) <= distance
+        keep = _bits(f[q] ^ f[node]) <= distance
         yield q[keep], node[keep]
 
 
@@ -148,8 +157,8 @@ def links(distinct: DataFrame, distance: int = 4, bucket_rows: int = _BUCKET) ->
         for t in whole_groups(batches, "bucket", 100_000):
             bucket = t.column("bucket").combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
             f, node = t.column("fingerprint").to_numpy().view(U64), t.column("node").to_numpy()
-            order = np.lexsort((gray_rank(f), bucket))
-            bucket, f, node = bucket[order], f[order], node[order]
+            order = gray_order(bucket, f[:, None])
+            bucket, f, node = bucket[order], f[order, None], node[order]
             root = _roots(len(f), near_pairs(bucket, f, distance))
             linked = np.flatnonzero(root != np.arange(len(root)))
             yield pa.RecordBatch.from_arrays([pa.array(node[root[linked]]), pa.array(node[linked])], ["a", "b"])
@@ -190,19 +199,3 @@ def near_duplicates(docs: DataFrame, distance: int = 4, shingle: int = 4, id_col
     known = distinct.join(component, "node", "left").select("fingerprint", F.coalesce("component", "node").alias("component_id"))
     out = marked.join(known, "fingerprint", "left")
     return out.select("doc_id", "fingerprint", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
-
-
-def one_of_each(docs: DataFrame, distance: int = 4, shingle: int = 4, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """docs with one row of each group of near duplicates, that of the smallest id; all columns as they are.
-
-    Rows of a null id stay. Where an id is repeated, one of its rows stays.
-    """
-    found = near_duplicates(docs, distance, shingle, id_column, text_column)
-    kept = durable(found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")))
-    again = kept.where("n > 1")
-    out = docs.join(kept, docs[id_column] == kept["doc_id"], "left_semi")
-    if not again.isEmpty():
-        many = out.join(again, out[id_column] == again["doc_id"], "left_semi").dropDuplicates([id_column])
-        out = out.join(again, out[id_column] == again["doc_id"], "left_anti").unionByName(many)
-    null = docs.where(docs[id_column].isNull())
-    return out if null.isEmpty() else out.unionByName(null)
