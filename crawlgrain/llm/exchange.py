@@ -1,15 +1,14 @@
 """Questions about all windows of a corpus, asked in compressed blocks.
 
-Documents are dealt into groups of a few megabytes by a hash of their id. A group
+Documents are dealt into groups of some megabytes by a hash of their id. A group
 hashes its windows at once, keeps each distinct hash once, and sends one block of
-sorted, delta-coded hashes to each of many buckets. A bucket compares the blocks of
+sorted, delta-coded hashes to each bucket that it has any for. A bucket compares the blocks of
 all groups and answers with one bit per hash. A hot window so costs one entry per
 group, however many documents hold it, and buckets are even as hashes are.
 """
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,22 +25,26 @@ ANSWER = "grp int, level int, bucket int, bits binary"
 
 @dataclass(frozen=True)
 class Sizes:
-    """How a corpus is cut: all follow its bytes alone."""
+    """How a corpus is cut: groups and buckets are of fixed size, so there are more of them for more bytes."""
 
     groups: int
     buckets: int
     bits: int  # of a hash that only picks candidates
 
 
+#: Text of a group, and windows of a bucket.
+GROUP_BYTES = 6 << 20
+BUCKET_WINDOWS = 2_000_000
+
+
 def sizes(docs: DataFrame, text_column: str) -> Sizes:
-    """Groups of 4 to 64 MB and buckets of about two million windows.
+    """Groups and buckets for a corpus.
 
     Candidate hashes are long enough for one in some thousands to be a false candidate.
     """
     n = text_bytes(docs, text_column)
-    group = min(64 << 20, max(4 << 20, math.isqrt(n) * 100))
     words = max(1, n // 5)
-    return Sizes(-(-n // group) or 1, -(-words // 2_000_000), min(64, words.bit_length() + 13))
+    return Sizes(-(-n // GROUP_BYTES) or 1, -(-words // BUCKET_WINDOWS), min(64, words.bit_length() + 13))
 
 
 def grouped(docs: DataFrame, cut: Sizes, id_column: str, text_column: str) -> DataFrame:
@@ -66,19 +69,22 @@ def deltas(sorted_values: np.ndarray) -> np.ndarray:
     return out
 
 
-def bucket_edges(buckets: int, bits: int) -> np.ndarray:
-    """Upper bounds, as Python ints fit in `bits`, of all buckets but the last."""
-    return np.array([(k << bits) // buckets for k in range(1, buckets)], dtype=U64)
+def bucket_of(values: np.ndarray, buckets: int, bits: int) -> np.ndarray:
+    """The bucket of each value below 2 ** bits: equal ranges, told by the first 32 bits."""
+    top = values >> U64(bits - 32) if bits > 32 else values << U64(32 - bits)
+    return (top * U64(buckets) >> U64(32)).astype(np.int64)
+
+
+def ranges(values: np.ndarray, buckets: int, bits: int) -> list[tuple[int, int, int]]:
+    """(bucket, start, end) of sorted values, for the buckets that have any."""
+    of = bucket_of(values, buckets, bits)
+    cuts = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1], [True]])).tolist() if len(of) else [0]
+    return [(int(of[a]), a, b) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
 def blocks(grp: int, level: int, values: np.ndarray, buckets: int, bits: int, extra: tuple[np.ndarray, ...] = ()) -> list[tuple]:
     """Rows of BLOCK for sorted distinct values; `extra` arrays go along, entry by entry."""
-    cuts = [0, *np.searchsorted(values, bucket_edges(buckets, bits)).tolist(), len(values)]
-    out = []
-    for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
-        if b > a:
-            out.append((k, grp, level, b - a, b"".join([planes(deltas(values[a:b])), *(planes(x[a:b]) for x in extra)])))
-    return out
+    return [(k, grp, level, b - a, b"".join([planes(deltas(values[a:b])), *(planes(x[a:b]) for x in extra)])) for k, a, b in ranges(values, buckets, bits)]
 
 
 def block_table(rows: list[tuple]) -> pa.Table:
@@ -122,9 +128,9 @@ def answers(heads: list[tuple[int, int]], yes: np.ndarray, level: int, bucket: i
 def read_answers(table: pa.Table, level: int, values: np.ndarray, buckets: int, bits: int) -> np.ndarray:
     """The boolean of each of a group's sorted distinct values."""
     out = np.zeros(len(values), dtype=bool)
-    cuts = [0, *np.searchsorted(values, bucket_edges(buckets, bits)).tolist(), len(values)]
+    place = {k: (a, b) for k, a, b in ranges(values, buckets, bits)}
     for lev, k, raw in zip(table.column("level").to_pylist(), table.column("bucket").to_pylist(), table.column("bits"), strict=True):
         if lev == level:
-            a, b = cuts[k], cuts[k + 1]
+            a, b = place[k]
             out[a:b] = np.unpackbits(np.frombuffer(raw.as_buffer(), dtype=np.uint8), count=b - a)
     return out

@@ -240,15 +240,17 @@ def pack_documents(docs: DataFrame, packing: Packing, id_column: str = "doc_id",
         packer = Packer(packing, TaskContext.get().partitionId())
         end = packing.end_id.to_bytes(4, "little")
         gc.disable()  # nothing here is cyclic; passes over all known words would only take time
-        for batch in batches:
-            texts = pc.fill_null(batch.column(1), "")
-            for at, n in W.portions(texts, _BYTES_AT_ONCE):
-                ids, bounds = words.encode_all(texts.slice(at, n))
-                for doc_id, a, b in zip(batch.column(0).slice(at, n).to_pylist(), bounds.tolist(), bounds[1:].tolist(), strict=False):
-                    packer.add(doc_id, ids[a:b].tobytes() + end)
-                yield packer.batch()
-        words.older = {}
-        gc.enable()
+        try:
+            for batch in batches:
+                texts = pc.fill_null(batch.column(1), "")
+                for at, n in W.portions(texts, _BYTES_AT_ONCE):
+                    ids, bounds = words.encode_all(texts.slice(at, n))
+                    for doc_id, a, b in zip(batch.column(0).slice(at, n).to_pylist(), bounds.tolist(), bounds[1:].tolist(), strict=False):
+                        packer.add(doc_id, ids[a:b].tobytes() + end)
+                    yield packer.batch()
+        finally:
+            words.older = {}
+            gc.enable()
         packer.close()
         yield packer.batch()
 

@@ -14,7 +14,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ROUNDS = 8
-DEFAULT_KEY = "change me"
 
 # The formats, in the order in which they are tried at a place.
 _EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
@@ -190,10 +189,10 @@ def pseudonym(m: Column, key: Column) -> Column:
     return F.struct(k.alias("kind"), value.alias("value"))
 
 
-def pseudonymise(docs: DataFrame, key: str = DEFAULT_KEY, text_column: str = "text", found_column: str | None = None) -> DataFrame:
+def pseudonymise(docs: DataFrame, key: str, text_column: str = "text", found_column: str | None = None) -> DataFrame:
     """docs with pseudonyms in its text column, all other columns as they are.
 
-    found_column, if named, gets the kinds replaced, in text order. One pass without a
+    key is a secret: whoever has it can undo the pseudonyms. found_column, if named, gets the kinds replaced, in text order. One pass without a
     shuffle; texts of any length are read whole. Null texts stay null (found: empty),
     empty texts empty; repeated rows stay; an empty table gives no rows. Numbers whose
     check digits, ranges or calendar don't hold stay in the text.

@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from crawlgrain.llm import decontaminate, html_blocks, packing, pii, pivot_index, simhash, substring_dedup, suffix_array, toxicity, warc
 
 
+#: The key of the queries, open for all to see: for tests and checks, never for data that matters.
+OPEN_KEY = "an open key for tests"
+
+
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
@@ -54,7 +58,7 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = pii.pseudonymise(_read(spark, sf_dir, "documents"), found_column="pii")
+    found = pii.pseudonymise(_read(spark, sf_dir, "documents"), OPEN_KEY, found_column="pii")
     return found.select("doc_id", "text", F.size("pii").cast("long").alias("n_pii"))
 
 

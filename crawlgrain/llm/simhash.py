@@ -24,6 +24,8 @@ U64 = np.uint64
 BITS = 64
 _FANOUT = 8
 _BUCKET = 20_000
+#: How often a large bucket is dealt out again before it is compared block by block.
+_TURNS = 3
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
@@ -166,16 +168,15 @@ def links(distinct: DataFrame, distance: int = 4, bucket_rows: int = _BUCKET) ->
     found, rows, turn = None, distinct.withColumn("trail", F.lit("")), 0
     while True:
         dealt = _bands(rows, 0, distance, "trail")
-        sizes = dealt.groupBy("bucket").count().where(F.col("count") > bucket_rows)
-        large = None
-        if turn < 3:
-            large = durable(sizes.select("bucket"))
-            large = None if large.isEmpty() else large
+        sizes = durable(dealt.groupBy("bucket").count().where(F.col("count") > bucket_rows))
+        large = None if sizes.isEmpty() else sizes.select("bucket")
         small = dealt if large is None else dealt.join(large, "bucket", "left_anti")
         part = small.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(tidied(task), "a long, b long")
         found = part if found is None else found.unionByName(part)
         if large is None:
             return found
+        if turn == _TURNS:
+            return found.unionByName(_in_blocks(dealt, sizes, distance, bucket_rows))
         turn += 1
         # every bit moves to another band: bit i goes to 13 i modulo 64, and so on with each turn
         moved = [F.shiftleft(_band(F.col("fingerprint"), i, 1), 13 * i % BITS) for i in range(BITS)]
@@ -185,6 +186,23 @@ def links(distinct: DataFrame, distance: int = 4, bucket_rows: int = _BUCKET) ->
         rows = durable(dealt.join(large, "bucket", "left_semi").select("node", value.alias("fingerprint"), F.col("bucket").alias("trail")))
 
 
+def _in_blocks(dealt: DataFrame, sizes: DataFrame, distance: int, bucket_rows: int) -> DataFrame:
+    """Links inside buckets that bands can't cut further: blocks of bounded size, each two of them compared in a task."""
+    rows = dealt.join(sizes.select("bucket", F.ceil(F.col("count") / bucket_rows).alias("blocks")), "bucket").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    tasks = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda j: F.struct(F.least("block", j).alias("lo"), F.greatest("block", j).alias("hi")))
+    rows = rows.select("node", "fingerprint", F.explode(tasks).alias("task"), "bucket")
+
+    def pair(t: pa.Table) -> pa.Table:
+        f, node = t.column("fingerprint").to_numpy().view(U64)[:, None], t.column("node").to_numpy()
+        order = gray_order(np.zeros(len(f), dtype=np.int64), f)
+        f, node = f[order], node[order]
+        root = _roots(len(f), near_pairs(np.zeros(len(f), dtype=np.int64), f, distance))
+        linked = np.flatnonzero(root != np.arange(len(root)))
+        return pa.table({"a": pa.array(node[root[linked]], pa.int64()), "b": pa.array(node[linked], pa.int64())})
+
+    return rows.groupBy("bucket", "task").applyInArrow(lambda t: pair(t), "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, distance: int = 4, shingle: int = 4, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(doc_id, fingerprint long, component_id): component_id is the smallest doc_id that links reach.
 

@@ -2,9 +2,10 @@
 
 Lengths double up to the window asked for (13 words: 7, then 13 as two overlapping
 sevens). A window is a candidate at one length only if both of its halves were
-repeated at the length before; candidates alone are sent and compared, and the levels
-end early once none survive. The last level compares 96 bits of hash and the smallest
-document id of each window.
+repeated at the length before; candidates alone are sent and compared, so once none
+survive the lengths after send nothing. The last level compares 96 bits of hash and the
+smallest document id of each window. Texts are split and hashed again at each length
+rather than kept between them.
 """
 
 from __future__ import annotations

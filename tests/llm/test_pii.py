@@ -99,9 +99,9 @@ def test_keys_and_links(spark):
 
 def test_columns_and_plan(spark):
     table = docs(spark, [(1, "mail a.b@c.org"), (1, "mail a.b@c.org"), (2, None)])
-    got = pii.pseudonymise(table)
+    got = pii.pseudonymise(table, "k")
     assert got.columns == table.columns and got.count() == 3 and len({x.text for x in got.collect()}) == 2
-    assert pii.pseudonymise(table.limit(0)).collect() == []
+    assert pii.pseudonymise(table.limit(0), "k").collect() == []
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
 
