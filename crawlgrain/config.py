@@ -34,6 +34,7 @@ class CrawlConfig:
     strip_tracking_parameters: bool = True
     normalize_trailing_slash: bool = True
     sort_query_parameters: bool = False
+    fold_http: bool = False
     max_response_body_bytes: int = 5_000_000
     import_sitemap_at_start: bool = True
     reference_robots: bool = False

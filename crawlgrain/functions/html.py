@@ -17,7 +17,7 @@ _TYPE = pa.struct([
     ("canonical", pa.string()), ("robots", pa.string()),
     ("hreflang", pa.list_(pa.struct([("lang", pa.string()), ("url", pa.string()), ("region", pa.string())]))),
     ("og_title", pa.string()), ("og_description", pa.string()), ("structured_data_types", pa.list_(pa.string())),
-    ("body_text", pa.string()), ("image_count", pa.int32()), ("links", pa.list_(_LINK)),
+    ("body_text", pa.string()), ("image_count", pa.int32()), ("bare_image_links", pa.int32()), ("links", pa.list_(_LINK)),
 ])
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -38,7 +38,7 @@ class _Page(HTMLParser):
         self.texts: dict[str, list[str]] = {}  # open captures: title, h1, a, json
         self.title: str | None = None
         self.h1: str | None = None
-        self.counts = {"h1": 0, "h2": 0, "img": 0}
+        self.counts = {"h1": 0, "h2": 0, "img": 0, "bare": 0}
         self.metas: dict[str, str] = {}
         self.og: dict[str, str] = {}
         self.canonical: str | None = None
@@ -77,6 +77,8 @@ class _Page(HTMLParser):
         elif tag == "img":
             if not self.removed and self.in_body:
                 self.counts["img"] += 1
+            if self.anchors and not a.get("alt", "").strip():
+                self.counts["bare"] += 1
             if "src" in a:
                 self.links["img"].append({"url": a["src"], "tag": "img", "rel": None, "anchor": a.get("alt"), "nofollow": False})
         elif tag == "script":
@@ -190,6 +192,7 @@ class _Page(HTMLParser):
             "structured_data_types": sorted(self.types),
             "body_text": _squash(self.body) or "",
             "image_count": self.counts["img"],
+            "bare_image_links": self.counts["bare"],
             "links": [row for k in _KINDS for row in self.links[k]],
         }
 
@@ -213,5 +216,9 @@ def _page_facts(html: pa.Array) -> pa.Array:
 
 
 def page_facts(html: Column) -> Column:
-    """Page facts of a column of texts, in one Arrow function."""
-    return F.arrow_udf(_page_facts, PAGE_FACTS)(html)
+    """Page facts of a column of texts, in one Arrow function.
+
+    It is declared as nondeterministic, though it isn't, for the optimiser to leave it
+    where it stands: conditions on facts would else be pushed below it with a copy of it.
+    """
+    return F.arrow_udf(_page_facts, PAGE_FACTS).asNondeterministic()(html)

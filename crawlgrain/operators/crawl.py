@@ -76,6 +76,11 @@ def indexability_reason(status: Column, failed: Column, canonical: Column, noind
     )
 
 
+def self_canonical(crawled: DataFrame) -> DataFrame:
+    """crawled with is_self_canonical: no canonical, or the URL itself; the final URL doesn't count."""
+    return crawled.withColumn("is_self_canonical", F.coalesce(F.col("canonical_url") == F.col("normalized_url"), F.lit(True)))
+
+
 def crawled_urls(fetches: DataFrame, seeds: list[str] | None = None, config: CrawlConfig = CrawlConfig()) -> DataFrame:
     """One analysed row per observation, with its raw links in `page_links`.
 
@@ -102,7 +107,7 @@ def crawled_urls(fetches: DataFrame, seeds: list[str] | None = None, config: Cra
         page["meta_description"].alias("meta_description"), F.length(page["meta_description"]).alias("meta_description_length"),
         page["h1"].alias("h1"), F.coalesce(page["h1_count"], F.lit(0)).alias("h1_count"), F.coalesce(page["h2_count"], F.lit(0)).alias("h2_count"),
         "canonical_url", page["og_title"].alias("og_title"), page["og_description"].alias("og_description"),
-        F.coalesce(page["image_count"], F.lit(0)).alias("image_count"), "robots_directives",
+        F.coalesce(page["image_count"], F.lit(0)).alias("image_count"), F.coalesce(page["bare_image_links"], F.lit(0)).alias("bare_image_links"), "robots_directives",
         F.transform(page["hreflang"], lambda h: F.struct(h["lang"].alias("lang"), urls.resolve(h["url"], base).alias("url"), h["region"].alias("region"))).alias("hreflang"),
         page["structured_data_types"].alias("structured_data_types"),
         text.word_count(page["body_text"]).alias("word_count"), text.content_hash(page["body_text"]).alias("content_hash"),

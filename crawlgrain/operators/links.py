@@ -17,18 +17,23 @@ def rel_flags(rel: Column) -> Column:
 def anchors(crawled: DataFrame, seeds: list[str] | None = None, config: CrawlConfig = CrawlConfig()) -> DataFrame:
     """Every usable anchor, repeats included, with its place `pos` in the page.
 
-    Targets are resolved against the final URL and normalised; others are dropped.
+    Targets are resolved against the final URL and normalised; others are dropped. All
+    is done inside the array of a page's links, where each step is computed once, and
+    the rows are filtered after the explode, beyond which no condition is pushed.
     """
     base = F.coalesce("final_url", "url")
-    rows = crawled.select("session_id", F.col("normalized_url").alias("source_url"), base.alias("base"), F.posexplode(F.filter("page_links", lambda x: x["tag"] == "a")).alias("pos", "link"))
-    # resolved in a step of its own: normalize() names its argument many times
-    ref = urls.trimmed(F.col("link.url"))
-    rows = rows.withColumn("resolved", F.when(ref != "", urls.resolve(ref, F.col("base"))))
-    rows = rows.withColumn("target_url", urls.normalize(F.col("resolved"), config=config)).where("target_url is not null")
-    internal = F.lit(True) if seeds is None else urls.is_internal(F.col("target_url"), F.array(*map(F.lit, seeds)), config)
-    if seeds is None:
-        internal = urls.in_scope(F.col("target_url"), F.col("source_url"), config)
-    return rows.select("session_id", "source_url", "target_url", F.col("link.anchor").alias("anchor_text"), rel_flags(F.col("link.rel")).alias("rel"), F.col("link.tag").alias("tag_name"), internal.alias("is_internal"), "pos")
+    source = F.col("normalized_url")
+
+    def one(link: Column, pos: Column, base_parts: Column) -> Column:
+        def fields(target: Column) -> Column:
+            internal = urls.in_scope(target, source, config) if seeds is None else urls.is_internal(target, F.array(*map(F.lit, seeds)), config)
+            return F.struct(target.alias("target_url"), link["anchor"].alias("anchor_text"), rel_flags(link["rel"]).alias("rel"), link["tag"].alias("tag_name"), internal.alias("is_internal"), pos.alias("pos"))
+
+        return urls.bound(urls.normalize_from(link["url"], base_parts, config), fields)
+
+    found = urls.bound(urls.cut(base), lambda b: F.transform(F.filter("page_links", lambda x: x["tag"] == "a"), lambda link, pos: one(link, pos, b)))
+    rows = crawled.select("session_id", source.alias("source_url"), F.explode_outer(found).alias("x"))
+    return rows.where("x.target_url is not null").select("session_id", "source_url", "x.*")
 
 
 def edges(all_anchors: DataFrame) -> DataFrame:

@@ -18,6 +18,13 @@ def by_indexable(crawled: DataFrame, wanted: bool | None = None) -> DataFrame:
     return crawled if wanted is None else crawled.where(F.col("is_indexable") == wanted)
 
 
+def lookup(table: DataFrame, **equal: str) -> DataFrame:
+    """The row, at most, whose columns have these values."""
+    for column, value in equal.items():
+        table = table.where(F.col(column) == value)
+    return table.limit(1)
+
+
 def search_urls(crawled: DataFrame, needle: str) -> DataFrame:
     return crawled.where(text.contains_fold(F.col("normalized_url"), needle) | text.contains_fold(F.col("title"), needle)) if needle else crawled
 

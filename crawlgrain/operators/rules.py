@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from crawlgrain.cuts import durable
 from crawlgrain.functions import text, urls
 
 
@@ -94,47 +96,87 @@ def _row_rules() -> dict[str, tuple[Column, dict[str, Column]]]:
         "blocked_robots_but_linked": (c("is_blocked_by_robots") & (c("internal_inlink_count") > 0), {"inlinks": c("internal_inlink_count")}),
         "thin_content": (ih & c("word_count").between(1, 99), {"wordCount": c("word_count")}),
         "excessive_crawl_depth": (ih & (c("crawl_depth") > 7), {"depth": c("crawl_depth")}),
+        "missing_alt_anchor_image": (page & (c("bare_image_links") > 0), {"images": c("bare_image_links")}),
         "insecure_canonical": (page & c("normalized_url").startswith("https://") & canonical.startswith("http://"), {"canonical": canonical}),
     }
 
 
-def _issue(key: str, data: dict[str, Column]) -> Column:
-    d = BY_KEY[key]
+#: Rules beyond the audit's own, held only where they are asked for by key.
+EXTENSIONS = ("missing_alt_anchor_image",)
+_COLUMNS = ("session_id", "url", "issue_key", "severity", "category", "title", "description", "remediation", "data")
+
+
+def _hit(key: str, data: dict[str, Column]) -> Column:
     pairs = [x for k, v in data.items() for x in (F.lit(k), v.cast("string"))]
     told = F.create_map(*pairs) if pairs else F.create_map().cast("map<string,string>")
-    return F.struct(F.lit(d.key).alias("issue_key"), F.lit(d.severity).alias("severity"), F.lit(d.category).alias("category"), F.lit(d.title).alias("title"), F.lit(d.description).alias("description"), F.lit(d.remediation).alias("remediation"), told.alias("data"))
+    return F.struct(F.lit(key).alias("issue_key"), told.alias("data"))
 
 
-_COLUMNS = ("session_id", "url", "issue_key", "severity", "category", "title", "description", "remediation", "data")
+def _told(hits: DataFrame) -> DataFrame:
+    """(session_id, url, issue_key, data) with the catalogue's texts."""
+    names = ("severity", "category", "title", "description", "remediation")
+    entries = [x for d in DEFINITIONS for x in (F.lit(d.key), F.struct(*[F.lit(getattr(d, n)).alias(n) for n in names]))]
+    return hits.withColumn("d", F.element_at(F.create_map(*entries), F.col("issue_key"))).select("session_id", "url", "issue_key", *[f"d.{n}" for n in names], "data")
+
+
+def _row_hits(keys: tuple[str, ...] | None) -> Column:
+    """The issues that a row shows by itself, as one array."""
+    found = [F.when(F.coalesce(p, F.lit(False)), _hit(k, data)) for k, (p, data) in _row_rules().items() if (k in keys if keys is not None else k not in EXTENSIONS)]
+    return F.filter(F.array(*found), lambda x: x.isNotNull())
 
 
 def row_issues(crawled: DataFrame, keys: tuple[str, ...] | None = None) -> DataFrame:
     """Issues that a row shows by itself: one scan, one array of structs, one explode."""
-    found = [F.when(F.coalesce(p, F.lit(False)), _issue(k, data)) for k, (p, data) in _row_rules().items() if keys is None or k in keys]
-    hits = F.filter(F.array(*found), lambda x: x.isNotNull())
-    return crawled.select("session_id", F.col("normalized_url").alias("url"), F.explode(hits).alias("i")).select("session_id", "url", "i.*").select(*_COLUMNS)
+    return _told(crawled.select("session_id", F.col("normalized_url").alias("url"), F.explode(_row_hits(keys)).alias("i")).select("session_id", "url", "i.*"))
 
 
 _SHARED = {"duplicate_title": ("title", lambda c: text.folded(c), "title"), "duplicate_meta_description": ("meta_description", lambda c: text.folded(c), "description"), "duplicate_content_exact": ("content_hash", lambda c: c, "contentHash")}
 
 
-def duplicate_issues(crawled: DataFrame, key: str) -> DataFrame:
-    """Indexable rows that share a folded title, description or content with another.
+def _shared_values(keys: tuple[str, ...]) -> Column:
+    """What an indexable row may share with others, as one array."""
+    one = lambda key, column, fold, name: F.when(F.col("is_indexable") & F.col(column).isNotNull(), F.struct(F.lit(key).alias("issue_key"), F.sha2(fold(F.col(column)), 256).alias("k"), F.create_map(F.lit(name), F.col(column)).alias("data")))
+    return F.filter(F.array(*[one(k, *_SHARED[k]) for k in keys]), lambda x: x.isNotNull())
+
+
+def _repeated(entries: DataFrame) -> DataFrame:
+    """Entries (session_id, url, issue_key, k, data) whose k others of their key have too.
 
     Values are counted by a pre-aggregated group-by and joined back, rather than by a
     window: a value in a third of all rows then costs a counter per task, and the
     skewed side of the join can be split.
     """
-    column, fold, name = _SHARED[key]
-    rows = crawled.where("is_indexable").where(F.col(column).isNotNull()).select("session_id", F.col("normalized_url").alias("url"), F.col(column).alias("value"), fold(F.col(column)).alias("k"))
-    many = rows.groupBy("session_id", "k").agg(F.count("*").alias("n")).where("n > 1").select("session_id", "k")
-    hit = rows.join(many, ["session_id", "k"], "left_semi")
-    return hit.select("session_id", "url", _issue(key, {name: F.col("value")}).alias("i")).select("session_id", "url", "i.*").select(*_COLUMNS)
-
-
-def all_issues(crawled: DataFrame) -> DataFrame:
-    """Row rules and whole-table rules; one issue per (session, url, key)."""
-    out = row_issues(crawled)
-    for key in _SHARED:
-        out = out.unionByName(duplicate_issues(crawled, key))
-    return out
+    keys = ["session_id", "issue_key", "k"]
+    many = entries.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1").select(*keys)
+    return entries.join(many, keys, "left_semi").select("session_id", "url", "issue_key", "data")
+
+
+def duplicate_issues(crawled: DataFrame, *keys: str) -> DataFrame:
+    """Indexable rows that share a folded title, description or content with another; the rows are computed once."""
+    values = _shared_values(keys or tuple(_SHARED))
+    rows = durable(crawled.select("session_id", F.col("normalized_url").alias("url"), F.explode(values).alias("s")).select("session_id", "url", "s.*"))
+    return _told(_repeated(rows))
+
+
+def duplicate_groups(crawled: DataFrame) -> DataFrame:
+    """(content_hash, url) of exact copies, in the order of a report."""
+    return duplicate_issues(crawled, "duplicate_content_exact").select(F.col("data")["contentHash"].alias("content_hash"), "url").orderBy("content_hash", "url")
+
+
+def all_issues(crawled: DataFrame, keys: tuple[str, ...] | None = None) -> DataFrame:
+    """Row rules and whole-table rules; one issue per (session, url, key).
+
+    The rows are computed once: what they show and what they may share is cut off as a
+    narrow table in the shared folder.
+    """
+    shared = tuple(k for k in _SHARED if keys is None or k in keys)
+    arrays = {}
+    if keys is None or len(shared) < len(keys):
+        arrays["hits"] = _row_hits(keys)
+    if shared:
+        arrays["shared"] = _shared_values(shared)
+    rows = durable(crawled.select("session_id", F.col("normalized_url").alias("url"), *[c.alias(n) for n, c in arrays.items()]))
+    each = lambda name: rows.select("session_id", "url", F.explode(name).alias("i")).select("session_id", "url", "i.*")
+    found = [each("hits")] if "hits" in arrays else []
+    found += [_repeated(each("shared"))] if shared else []
+    return _told(reduce(DataFrame.unionByName, found)).select(*_COLUMNS)

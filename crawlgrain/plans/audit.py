@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 
 from crawlgrain.config import CrawlConfig
+from crawlgrain.cuts import durable
 from crawlgrain.operators import crawl, links, reports, rules
 
 
@@ -21,8 +22,8 @@ class Audit:
 def audit(fetches: DataFrame, seeds: list[str] | None = None, robots: DataFrame | None = None, config: CrawlConfig = CrawlConfig(), keep: str | None = None) -> Audit:
     """Audits fetch observations.
 
-    keep: a folder that all executors share, for the analysed rows; pages are then
-    parsed once, however many of the results are used.
+    Pages are parsed once, however many of the results are used: the analysed rows are
+    written to `keep`, a folder that all executors share, or else checkpointed.
     """
     rows = crawl.within_depth(fetches, config)
     if seeds is not None:
@@ -34,6 +35,8 @@ def audit(fetches: DataFrame, seeds: list[str] | None = None, robots: DataFrame
     if keep:
         crawled.write.mode("overwrite").parquet(keep)
         crawled = fetches.sparkSession.read.parquet(keep)
+    else:
+        crawled = durable(crawled)
     anchors = links.anchors(crawled, seeds, config)
     edges = links.edges(anchors)
     counted = links.with_link_counts(crawled, anchors, edges).drop("page_links")

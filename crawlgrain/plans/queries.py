@@ -1,22 +1,25 @@
 """Named queries over the driver's tables, and the same results as DuckDB SQL.
 
-pages has no HTTP facts; `observations` adds synthetic ones, computed from page_id
-alike in both dialects: statuses, depths, sources, noindex headers, redirect hops,
-failures.
+pages has no HTTP facts and little of a page's head, so `site` puts elements into the
+pages and `observations` adds facts, by rules on page_id that both dialects state:
+titles, descriptions, canonicals, headings, images, links, directives; statuses, depths,
+sources, headers, redirects, failures, robots files. The SQL takes what should be found
+from those rules, or finds it with regular expressions.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crawlgrain.config import TRACKING_PARAMETERS, CrawlConfig
+from crawlgrain.cuts import durable, shared_folder
 from crawlgrain.functions import robots, text, urls
 from crawlgrain.operators import crawl, exports, frontier, links, reports, rules, tables
+from crawlgrain.plans.audit import Audit, audit
 from crawlgrain.schemas import ERROR, REDIRECT_CHAIN
 from crawlgrain.sources import fetches as S
 from crawlgrain.sources import sites
@@ -46,33 +49,98 @@ def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "pages")
 
 
-def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """pages as fetches, with synthetic HTTP facts; page_id stays."""
+# What `site` puts into a page, by page_id: (divisor, remainders, where, what). {i}, {url}
+# and {origin} stand for the page's id, normalised URL and origin; the same list makes the SQL.
+_HEAD, _TOP = "</head>", "<article>"
+_DESCRIPTION = '<meta name="description" content="{}">'
+_ELEMENTS = (
+    (10, (1,), _HEAD, _DESCRIPTION.format("Shared description")),
+    (10, (6,), _HEAD, _DESCRIPTION.format(" SHARED Description ")),
+    (5, (2,), _HEAD, _DESCRIPTION.format("Long text " * 17)),
+    (5, (3, 4), _HEAD, '<META CONTENT="Page number {i}" NAME="Description">'),
+    (6, (3,), _HEAD, '<link rel="canonical" href="{url}">'),
+    (6, (2,), _HEAD, '<link rel="canonical" href=" /canon/{i} ">'),
+    (6, (1,), _HEAD, '<link href="{plain}" rel="canonical">'),
+    (6, (4,), _HEAD, '<link rel="canonical" href="https://bad host/x">'),
+    (6, (5,), _HEAD, '<link rel="canonical" href="{origin}/r1">'),
+    (7, (0,), _HEAD, '<link rel="alternate" hreflang="en" href="/en/x"><link rel="alternate" hreflang="fr-CA" href="https://fr.example/x">'),
+    (7, (1,), _HEAD, '<link rel="next" href="/list/2">'),
+    (2, (0,), _HEAD, '<meta property="og:title" content="OG {i}"><meta property="og:description" content="OG text">'),
+    (8, (0,), _HEAD, '<script type="application/ld+json">{{"@type":"Person","x":[{{"@type":["Thing","Article"]}}],"y":{{"@type":"Article"}}}}</script>'),
+    (31, (0,), _HEAD, '<meta name="robots" content="noindex, nofollow">'),
+    (31, (1,), _HEAD, '<meta name="ROBOTS" content="unavailable_after: 2030-01-02, noarchive">'),
+    (9, (0,), _TOP, "<h1>Extra heading</h1>"),
+    (4, (1, 2, 3), _TOP, "<h2>Part</h2>"),
+    (4, (2, 3), _TOP, "<h2>Part</h2>"),
+    (3, (1, 2), _TOP, '<img src="/i.png" alt="picture">'),
+    (14, (0,), _TOP, '<a href="/zoom"><img src="/z.png"></a>'),
+    (6, (0,), _TOP, '<a href="https://external.example/x" rel="nofollow, sponsored">ext</a>'),
+    (5, (3,), _TOP, '<a href="{url}">self</a>'),
+    (13, (5,), _TOP, '<script src="/s.js"></script><iframe src="https://v.example/e"></iframe>'),
+)
+_ONE_BODY = "<body><article><p>The same few words on several pages.</p></article></body>"
+_LONG_TITLE = "Long title " * 7
+
+
+def site(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """pages(page_id, url, html) with more elements in the pages."""
     i = F.col("page_id")
-    base = S.from_pages(_pages(spark, sf_dir).select("page_id", "url", "html")).drop("fetch_error", "headers", "redirect_chain", "status_code", "crawl_depth", "source", "response_time_ms")
-    hop = lambda k: F.struct(F.concat(F.lit("/r"), k.cast("string")).alias("from_url"), F.concat(F.lit("/r"), (k + 1).cast("string")).alias("to_url"), F.lit(301).alias("status_code"))
-    page_id = F.unix_seconds("discovered_at")
-    return base.withColumn("page_id", page_id).select(
-        *base.columns,
-        F.when(i % 23 == 0, 404).when(i % 29 == 0, 500).when(i % 17 == 0, 301).otherwise(200).alias("status_code"),
-        (i % 10).cast("int").alias("crawl_depth"),
-        F.when(i % 4 == 0, "sitemap").otherwise("crawl").alias("source"),
-        (20 + (i * 37) % 900).cast("int").alias("response_time_ms"),
-        F.when(i % 13 == 0, F.create_map(F.lit("X-Robots-Tag"), F.lit("noindex"))).otherwise(F.create_map().cast("map<string,string>")).alias("headers"),
-        F.transform(F.sequence(F.lit(1), (i % 5).cast("int") + 1), hop).alias("hops"),
-        F.when(i % 41 == 0, F.struct(F.lit("timeout").alias("kind"), F.lit(None).cast("string").alias("detail"))).cast(ERROR).alias("fetch_error"),
-        "page_id",
-    ).withColumn("redirect_chain", F.slice("hops", F.lit(1), F.size("hops") - 1).cast(REDIRECT_CHAIN)).drop("hops", "page_id")
+    pages = _pages(spark, sf_dir).select("page_id", "url", "html", urls.normalize(F.col("url")).alias("norm"))
+    pages = pages.withColumn("origin", F.regexp_extract("norm", "^(https?://[^/]+)", 1))
+    html = F.col("html")
+    title = F.when(i % 19 == 0, "").when(i % 19 == 1, "<title>Short</title>").when(i % 19 == 2, f"<title>{_LONG_TITLE}</title>")
+    html = F.when(title.isNotNull(), F.regexp_replace(html, F.lit("(?s)<title>.*?</title>"), title)).otherwise(html)
+    html = F.when(i % 12 == 3, F.regexp_replace(html, "(?s)<body>.*</body>", _ONE_BODY)).when(i % 11 == 0, F.regexp_replace(html, "(?s)<h1>.*?</h1>", "")).otherwise(html)
+
+    def filled(what: str) -> Column:
+        out = F.lit(what.replace("{{", "{").replace("}}", "}"))
+        for name, value in (("{i}", i.cast("string")), ("{url}", F.col("norm")), ("{plain}", F.replace(F.col("norm"), F.lit("https://"), F.lit("http://"))), ("{origin}", F.col("origin"))):
+            out = F.replace(out, F.lit(name), value) if name in what else out
+        return out
+
+    parts = {w: F.concat(*[F.when((i % d).isin(*r), filled(what)).otherwise("") for d, r, where, what in _ELEMENTS if where == w]) for w in (_HEAD, _TOP)}
+    html = F.replace(html, F.lit(_HEAD), F.concat(parts[_HEAD], F.lit(_HEAD)))
+    html = F.replace(html, F.lit(_TOP), F.concat(F.lit(_TOP), parts[_TOP]))
+    return pages.select("page_id", "url", html.alias("html"))
+
+
+def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """site as fetches, with synthetic HTTP facts."""
+    pages = site(spark, sf_dir)
+    i = F.unix_seconds("discovered_at")
+    base = S.from_pages(pages)
+    origin = F.regexp_extract("normalized_url", "^(https?://[^/]+)", 1)
+    hop = lambda a, b: F.struct(F.concat(origin, F.lit("/r"), a.cast("string")).alias("from_url"), F.concat(origin, F.lit("/r"), b.cast("string")).alias("to_url"), F.lit(301).alias("status_code"))
+    chain = F.transform(F.slice(F.sequence(F.lit(1), (i % 5).cast("int") + 1), F.lit(1), (i % 5).cast("int")), lambda k: hop(k, k + 1))
+    loop = F.array(*[hop(F.lit(a), F.lit(b)) for a, b in ((1, 2), (2, 1), (1, 2))])
+    no_detail = F.lit(None).cast("string")
+    new = {
+        "status_code": F.when(i % 23 == 0, 404).when(i % 29 == 0, 500).when(i % 17 == 0, 301).otherwise(200),
+        "crawl_depth": (i % 10).cast("int"),
+        "source": F.when(i % 4 == 0, "sitemap").otherwise("crawl"),
+        "response_time_ms": (20 + (i * 37) % 900).cast("int"),
+        "headers": F.when(i % 13 == 0, F.create_map(F.lit("X-Robots-Tag"), F.lit("noindex"))).otherwise(F.create_map().cast("map<string,string>")),
+        "final_url": F.when(i % 3 == 0, F.col("url")).when(i % 3 == 1, F.concat(origin, F.lit("/final/"), i.cast("string"))),
+        "redirect_chain": F.when(i % 37 == 0, loop).otherwise(chain).cast(REDIRECT_CHAIN),
+        "fetch_error": F.when(i % 37 == 0, F.struct(F.lit("too_many_redirects").alias("kind"), no_detail.alias("detail"))).when(i % 41 == 0, F.struct(F.lit("timeout").alias("kind"), no_detail.alias("detail"))).cast(ERROR),
+    }
+    return base.select(*[new[c].alias(c) if c in new else c for c in base.columns])
+
+
+def _robots(pages: DataFrame) -> DataFrame:
+    """One robots file for all hosts of the pages."""
+    return pages.select(urls.host(F.col("url")).alias("host")).distinct().select("host", F.lit(200).alias("http_status"), F.lit(_ROBOTS).alias("body"))
 
 
 def _crawled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return crawl.crawled_urls(observations(spark, sf_dir))
+    rows = observations(spark, sf_dir)
+    return crawl.crawled_urls(crawl.with_robots(rows, sites.robots_table(_robots(rows))))
 
 
-def _counted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Analysed rows with link counts of 0: no page of the table links to another."""
-    zero = F.lit(0)
-    return _crawled(spark, sf_dir).withColumns({"internal_inlink_count": zero, "internal_outlink_count": F.size(F.filter("page_links", lambda x: x["tag"] == "a")), "external_outlink_count": zero}).drop("page_links")
+def _audited(spark: SparkSession, sf_dir: str) -> Audit:
+    """The whole audit of the site."""
+    rows = observations(spark, sf_dir)
+    return audit(rows, robots=sites.robots_table(_robots(rows)), config=CrawlConfig(max_depth=-1))
 
 
 # --- the same in SQL ---------------------------------------------------------------
@@ -97,42 +165,84 @@ norm AS (SELECT *, origin || (CASE WHEN p IN ('', '/') THEN '/' ELSE regexp_repl
   FROM (SELECT *, array_to_string(list_filter(string_split(q, '&'), lambda x: x <> '' AND NOT (lower(split_part(x, '=', 1)) IN ({_TRACKING}))), '&') AS kept FROM parts))
 """
 
+_ROBOTS = "User-agent: *\nDisallow: /en/\nAllow: /en/1\nDisallow: /*page=2\nDisallow: /fr/*9$\n\nUser-agent: otherbot\nDisallow: /\n"
+
+
+def _robots_sql(url: str) -> str:
+    """CTE decided(page_id, allowed) for a column of URLs of norm."""
+    return rf"""
+rules(allow, re, n) AS (VALUES (false, '^/en/', 4), (true, '^/en/1', 5), (false, '^/.*page=2', 8), (false, '^/fr/.*9$', 6)),
+paths AS (SELECT page_id, CASE WHEN path LIKE '/%' THEN path ELSE '/' || path END AS path FROM (SELECT page_id, regexp_extract({url}, '^https?://[^/?#]+([^#]*)', 1) AS path FROM norm)),
+best AS (SELECT page_id, max((n * 2 + allow::INTEGER)) AS best FROM paths, rules WHERE regexp_matches(path, re) GROUP BY page_id),
+decided AS (SELECT paths.page_id, coalesce(best % 2 = 1, true) AS allowed FROM paths LEFT JOIN best USING (page_id))
+"""
+
+
+def _element_sql(divisor: int, rests: tuple[int, ...], what: str) -> str:
+    out = "'" + what.replace("{{", "{").replace("}}", "}").replace("'", "''") + "'"
+    for name, value in (("{i}", "CAST(page_id AS VARCHAR)"), ("{url}", "normalized_url"), ("{plain}", "replace(normalized_url, 'https://', 'http://')"), ("{origin}", "origin")):
+        if name in what:
+            out = f"replace({out}, '{name}', {value})"
+    return f"(CASE WHEN page_id % {divisor} IN ({', '.join(map(str, rests))}) THEN {out} ELSE '' END)"
+
+
+_PUT = {w: " || ".join(_element_sql(d, r, what) for d, r, where, what in _ELEMENTS if where == w) for w in (_HEAD, _TOP)}
+_SITE = rf"""
+site AS (SELECT * REPLACE (replace(replace(CASE WHEN page_id % 12 = 3 THEN regexp_replace(t, '(?s)<body>.*</body>', '{_ONE_BODY}') WHEN page_id % 11 = 0 THEN regexp_replace(t, '(?s)<h1>.*?</h1>', '') ELSE t END, '{_HEAD}', {_PUT[_HEAD]} || '{_HEAD}'), '{_TOP}', '{_TOP}' || {_PUT[_TOP]}) AS html)
+  FROM (SELECT *, CASE WHEN page_id % 19 = 0 THEN regexp_replace(html, '(?s)<title>.*?</title>', '') WHEN page_id % 19 = 1 THEN regexp_replace(html, '(?s)<title>.*?</title>', '<title>Short</title>')
+    WHEN page_id % 19 = 2 THEN regexp_replace(html, '(?s)<title>.*?</title>', '<title>{_LONG_TITLE}</title>') ELSE html END AS t FROM norm))
+"""
+
 _BODY = r"regexp_extract(html, '(?is)<body[^>]*>(.*)', 1)"
 for _tag in ("script", "style", "nav", "header", "footer"):
     _BODY = f"regexp_replace({_BODY}, '(?is)<{_tag}[^>]*>.*?</{_tag}>', ' ', 'g')"
 _BODY = rf"regexp_replace({_BODY}, '(?s)<!--.*?-->', '', 'g')"
-_BODY = rf"regexp_replace({_BODY}, '(?i)</?(div|article|h1|p|br|ul|li|body|html|img)[^>]*>', ' ', 'g')"
+_BODY = rf"regexp_replace({_BODY}, '(?i)</?(div|article|h1|h2|p|br|ul|li|body|html|img|iframe)[^>]*>', ' ', 'g')"
 _BODY = _squashed(_plain(rf"regexp_replace({_BODY}, '<[^>]*>', '', 'g')"))
 
 _FACTS = rf"""
+{_SITE},
 facts AS (SELECT *,
   nullif({_squashed(_plain("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)"))}, '') AS title,
   nullif({_squashed(_plain("regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1)"))}, '') AS h1,
   CAST(len(regexp_extract_all(html, '(?i)<h1[ >]')) AS INTEGER) AS h1_count,
+  CAST(least(page_id % 4, 2) AS INTEGER) AS h2_count,
+  CAST((page_id % 3 > 0)::INTEGER + (page_id % 14 = 0)::INTEGER AS INTEGER) AS image_count,
+  CASE page_id % 5 WHEN 0 THEN NULL WHEN 1 THEN (CASE WHEN page_id % 10 = 1 THEN 'Shared description' ELSE 'SHARED Description' END) WHEN 2 THEN trim(repeat('Long text ', 17)) ELSE 'Page number ' || page_id END AS meta_description,
+  CASE page_id % 6 WHEN 0 THEN NULL WHEN 3 THEN normalized_url WHEN 2 THEN origin || '/canon/' || page_id WHEN 1 THEN replace(normalized_url, 'https://', 'http://') WHEN 4 THEN 'https://bad host/x' ELSE origin || '/r1' END AS canonical_url,
   {_BODY} AS body_text
-  FROM norm)
+  FROM site)
 """
 
 _OBS = rf"""
-WITH {_NORM}, {_FACTS},
-obs AS (SELECT *, CAST(length(title) AS INTEGER) AS title_length,
+WITH {_NORM}, {_robots_sql("normalized_url")}, {_FACTS},
+obs AS (SELECT * EXCLUDE (allowed), CAST(length(title) AS INTEGER) AS title_length, CAST(length(meta_description) AS INTEGER) AS meta_description_length,
   CASE WHEN body_text = '' THEN 0 ELSE CAST(len(string_split(body_text, ' ')) AS INTEGER) END AS word_count,
   sha256(lower(body_text)) AS content_hash,
-  page_id % 41 = 0 AS failed,
-  CASE WHEN page_id % 41 = 0 THEN NULL WHEN page_id % 23 = 0 THEN 404 WHEN page_id % 29 = 0 THEN 500 WHEN page_id % 17 = 0 THEN 301 ELSE 200 END AS status_code,
+  page_id % 41 = 0 OR page_id % 37 = 0 AS failed,
+  CASE WHEN page_id % 41 = 0 OR page_id % 37 = 0 THEN NULL WHEN page_id % 23 = 0 THEN 404 WHEN page_id % 29 = 0 THEN 500 WHEN page_id % 17 = 0 THEN 301 ELSE 200 END AS status_code,
   CAST(page_id % 10 AS INTEGER) AS crawl_depth,
   CASE WHEN page_id % 4 = 0 THEN 'sitemap' ELSE 'crawl' END AS source,
-  page_id % 13 = 0 AS noindex,
-  CAST(page_id % 5 AS INTEGER) AS hops FROM facts),
+  page_id % 13 = 0 OR page_id % 31 = 0 AS noindex,
+  NOT allowed AS blocked,
+  CASE WHEN page_id % 3 = 1 THEN origin || '/final/' || page_id END AS final_url,
+  CAST(CASE WHEN page_id % 37 = 0 THEN 3 ELSE page_id % 5 END AS INTEGER) AS hops FROM facts JOIN decided USING (page_id)),
 crawled AS (SELECT *, reason IS NULL AS is_indexable, reason IS NULL AND NOT failed AND status_code IS NOT NULL AS ih
-  FROM (SELECT *, CASE WHEN noindex THEN 'noindex' WHEN failed OR status_code BETWEEN 400 AND 599 THEN 'http_error' WHEN status_code BETWEEN 300 AND 399 THEN 'redirect' END AS reason FROM obs))
+  FROM (SELECT *, CASE WHEN blocked THEN 'blocked_robots' WHEN canonical_url <> normalized_url THEN 'canonical_elsewhere' WHEN noindex THEN 'noindex' WHEN failed OR status_code BETWEEN 400 AND 599 THEN 'http_error' WHEN status_code BETWEEN 300 AND 399 THEN 'redirect' END AS reason FROM obs))
+"""
+
+_ANCHOR_CTES = rf"""
+raw AS (SELECT page_id, normalized_url, origin, unnest(regexp_extract_all(html, '<a href="([^"]*)"[^>]*>', 1)) AS href, unnest(regexp_extract_all(html, '(?s)<a href="[^"]*"[^>]*>(.*?)</a>', 1)) AS anchor, unnest(range(len(regexp_extract_all(html, '<a href="([^"]*)"[^>]*>', 1)))) AS pos FROM site),
+anchors AS (SELECT page_id, normalized_url AS source_url, pos, {_plain("href")} AS href, {_squashed(_plain("regexp_replace(anchor, '<[^>]*>', ' ', 'g')"))} AS anchor_text, href NOT LIKE 'https://external.example/%' AS is_internal,
+  CASE WHEN href LIKE 'http%' THEN href ELSE origin || regexp_replace(regexp_replace({_plain("href")}, '#.*$', ''), '(.)/$', '\1') END AS target_url FROM raw)
 """
+_ANCHORS = f"WITH {_NORM}, {_SITE}, {_ANCHOR_CTES}"
 
-_ANCHORS = rf"""
-WITH {_NORM},
-raw AS (SELECT page_id, normalized_url, origin, unnest(regexp_extract_all(html, '<a href="([^"]*)"[^>]*>', 1)) AS href, unnest(regexp_extract_all(html, '(?s)<a href="[^"]*"[^>]*>(.*?)</a>', 1)) AS anchor, unnest(range(len(regexp_extract_all(html, '<a href="([^"]*)"[^>]*>', 1)))) AS pos FROM norm),
-anchors AS (SELECT page_id, normalized_url AS source_url, pos, {_plain("href")} AS href, {_squashed(_plain("anchor"))} AS anchor_text,
-  origin || regexp_replace(regexp_replace({_plain("href")}, '#.*$', ''), '(.)/$', '\1') AS target_url FROM raw)
+#: `crawled` with its link counts.
+_COUNTED = _OBS + rf""", {_ANCHOR_CTES},
+outs AS (SELECT source_url AS normalized_url, CAST(count(*) FILTER (is_internal) AS INTEGER) AS out_internal, CAST(count(*) FILTER (NOT is_internal) AS INTEGER) AS out_external FROM anchors GROUP BY 1),
+ins AS (SELECT target_url AS normalized_url, CAST(count(DISTINCT source_url) AS INTEGER) AS inlinks FROM anchors WHERE is_internal GROUP BY 1),
+counted AS (SELECT crawled.*, coalesce(out_internal, 0) AS out_internal, coalesce(out_external, 0) AS out_external, coalesce(inlinks, 0) AS inlinks FROM crawled LEFT JOIN outs USING (normalized_url) LEFT JOIN ins USING (normalized_url))
 """
 
 # --- URLs --------------------------------------------------------------------------
@@ -160,7 +270,7 @@ def url_resolve_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every anchor's href against its page."""
     from crawlgrain.functions.html import page_facts
 
-    rows = _pages(spark, sf_dir).select("page_id", "url", page_facts(F.col("html")).alias("p"))
+    rows = site(spark, sf_dir).select("page_id", "url", page_facts(F.col("html")).alias("p"))
     rows = rows.select("page_id", "url", F.posexplode(F.filter("p.links", lambda x: x["tag"] == "a")).alias("pos", "link"))
     return rows.select("page_id", "pos", F.col("link.url").alias("href"), urls.normalize(F.col("link.url"), F.col("url")).alias("target_url"))
 
@@ -184,20 +294,12 @@ def host_page_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- robots, sitemaps --------------------------------------------------------------
 
-_ROBOTS = "User-agent: *\nDisallow: /en/\nAllow: /en/1\nDisallow: /*page=2\nDisallow: /fr/*9$\n\nUser-agent: otherbot\nDisallow: /\n"
-
 
-@_query(rf"""
-WITH {_NORM}, r(allow, re, n) AS (VALUES (false, '^/en/', 4), (true, '^/en/1', 5), (false, '^/.*page=2', 8), (false, '^/fr/.*9$', 6)),
-t AS (SELECT page_id, (CASE WHEN p = '' THEN '/' ELSE p END) || (CASE WHEN regexp_matches(url, '\?') THEN '?' || q ELSE '' END) AS path FROM norm),
-m AS (SELECT page_id, max((n * 2 + allow::INTEGER)) AS best FROM t, r WHERE regexp_matches(path, re) GROUP BY page_id)
-SELECT t.page_id, coalesce(best % 2 = 1, true) AS allowed FROM t LEFT JOIN m USING (page_id)
-""")
+@_query(f"WITH {_NORM}, {_robots_sql('url')} SELECT page_id, allowed FROM decided")
 def robots_decide(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One file for all hosts, joined by host as in a crawl."""
     pages = _pages(spark, sf_dir).select("page_id", "url")
-    raw = pages.select(urls.host(F.col("url")).alias("host")).distinct().select("host", F.lit(200).alias("http_status"), F.lit(_ROBOTS).alias("body"))
-    known = sites.cached_robots(pages, sites.robots_table(raw))
+    known = sites.cached_robots(pages, sites.robots_table(_robots(pages)))
     return known.select("page_id", robots.allowed(F.col("robots"), urls.robots_path(F.col("url")), F.lit("anybot")).alias("allowed"))
 
 
@@ -220,16 +322,16 @@ def sitemap_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- pages -------------------------------------------------------------------------
 
 
-@_query(f"WITH {_NORM}, {_FACTS} SELECT page_id, title, CAST(length(title) AS INTEGER) AS title_length, h1, h1_count FROM facts")
+@_query(f"WITH {_NORM}, {_FACTS} SELECT page_id, title, CAST(length(title) AS INTEGER) AS title_length, h1, h1_count, h2_count, image_count, meta_description FROM facts")
 def extract_title_h1(spark: SparkSession, sf_dir: str) -> DataFrame:
     from crawlgrain.functions.html import page_facts
 
-    p = _pages(spark, sf_dir).select("page_id", page_facts(F.col("html")).alias("p"))
-    return p.select("page_id", "p.title", F.length("p.title").alias("title_length"), "p.h1", "p.h1_count")
+    p = site(spark, sf_dir).select("page_id", page_facts(F.col("html")).alias("p"))
+    return p.select("page_id", "p.title", F.length("p.title").alias("title_length"), "p.h1", "p.h1_count", "p.h2_count", "p.image_count", "p.meta_description")
 
 
 def _anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return links.anchors(crawl.crawled_urls(S.from_pages(_pages(spark, sf_dir))))
+    return links.anchors(crawl.crawled_urls(S.from_pages(site(spark, sf_dir))))
 
 
 @_query(f"{_ANCHORS} SELECT source_url, target_url, anchor_text, CAST(pos AS INTEGER) AS pos FROM anchors")
@@ -242,12 +344,12 @@ def link_graph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return links.edges(_anchors(spark, sf_dir)).select("source_url", "target_url", "anchor_text")
 
 
-@_query(f"{_ANCHORS} SELECT target_url AS normalized_url, CAST(count(DISTINCT source_url) AS INTEGER) AS internal_inlink_count FROM anchors GROUP BY 1")
+@_query(f"{_ANCHORS} SELECT target_url AS normalized_url, CAST(count(DISTINCT source_url) AS INTEGER) AS internal_inlink_count FROM anchors WHERE is_internal GROUP BY 1")
 def inlink_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return links.inlink_counts(links.edges(_anchors(spark, sf_dir))).drop("session_id")
 
 
-@_query(f"{_ANCHORS} SELECT source_url AS normalized_url, CAST(count(*) AS INTEGER) AS internal_outlink_count, CAST(0 AS INTEGER) AS external_outlink_count FROM anchors GROUP BY 1")
+@_query(f"{_ANCHORS} SELECT source_url AS normalized_url, CAST(count(*) FILTER (is_internal) AS INTEGER) AS internal_outlink_count, CAST(count(*) FILTER (NOT is_internal) AS INTEGER) AS external_outlink_count FROM anchors GROUP BY 1")
 def outlink_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return links.outlink_counts(_anchors(spark, sf_dir)).drop("session_id")
 
@@ -275,51 +377,52 @@ def indexability(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- rules -------------------------------------------------------------------------
 
-#: Predicates over `crawled` in SQL. The pages have no description, canonical or inlink.
+#: Predicates over `counted` in SQL.
 _PREDICATES = {
     "http_4xx": "status_code BETWEEN 400 AND 499",
     "http_5xx": "status_code BETWEEN 500 AND 599",
     "redirect_chain": "hops >= 2",
-    "redirect_loop": "false",
+    "redirect_loop": "page_id % 37 = 0",
     "missing_title": "ih AND title IS NULL",
     "title_too_short": "ih AND title_length BETWEEN 1 AND 9",
     "title_too_long": "ih AND title_length > 65",
-    "missing_meta_description": "ih",
-    "meta_description_too_long": "false",
+    "missing_meta_description": "ih AND meta_description IS NULL",
+    "meta_description_too_long": "ih AND meta_description_length > 160",
     "missing_h1": "ih AND h1_count = 0",
     "multiple_h1": "ih AND h1_count > 1",
-    "canonical_to_non_indexable": "false",
-    "broken_canonical": "false",
+    "canonical_to_non_indexable": "page_id % 6 = 5 AND hops >= 1",
+    "broken_canonical": "page_id % 6 = 4",
     "noindex_in_sitemap": "source = 'sitemap' AND noindex",
-    "blocked_robots_but_linked": "false",
+    "blocked_robots_but_linked": "blocked AND inlinks > 0",
     "thin_content": "ih AND word_count BETWEEN 1 AND 99",
     "excessive_crawl_depth": "ih AND crawl_depth > 7",
-    "insecure_canonical": "false",
-    "duplicate_title": "is_indexable AND title IS NOT NULL AND (SELECT count(*) FROM crawled o WHERE o.is_indexable AND lower(trim(o.title)) = lower(trim(c.title))) > 1",
-    "duplicate_meta_description": "false",
-    "duplicate_content_exact": "is_indexable AND (SELECT count(*) FROM crawled o WHERE o.is_indexable AND o.content_hash = c.content_hash) > 1",
+    "insecure_canonical": "page_id % 6 = 1 AND normalized_url LIKE 'https://%'",
+    "duplicate_title": "is_indexable AND title IS NOT NULL AND count(*) FILTER (is_indexable AND title IS NOT NULL) OVER (PARTITION BY lower(trim(title))) > 1",
+    "duplicate_meta_description": "is_indexable AND meta_description IS NOT NULL AND count(*) FILTER (is_indexable AND meta_description IS NOT NULL) OVER (PARTITION BY lower(trim(meta_description))) > 1",
+    "duplicate_content_exact": "is_indexable AND count(*) FILTER (is_indexable) OVER (PARTITION BY content_hash) > 1",
 }
-_ISSUES = _OBS + ", issues AS (" + " UNION ALL ".join(f"SELECT normalized_url AS url, '{k}' AS issue_key, '{rules.BY_KEY[k].severity}' AS severity, '{rules.BY_KEY[k].category}' AS category FROM crawled c WHERE {p}" for k, p in _PREDICATES.items() if p != "false") + ")"
+_EXTENDED = _PREDICATES | {"missing_alt_anchor_image": "page_id % 14 = 0"}
+_JUDGED = lambda key: f"SELECT normalized_url AS url, '{key}' AS issue_key, '{rules.BY_KEY[key].severity}' AS severity, '{rules.BY_KEY[key].category}' AS category FROM (SELECT *, {_EXTENDED[key]} AS holds FROM counted) WHERE holds"
+_ISSUES = _COUNTED + ", issues AS (" + " UNION ALL ".join(map(_JUDGED, _PREDICATES)) + ")"
+
+
+def _issues(spark: SparkSession, sf_dir: str, *keys: str) -> DataFrame:
+    """The site's issues, by way of the whole audit; keys: of these rules alone."""
+    got = _audited(spark, sf_dir)
+    return rules.all_issues(got.urls, keys) if keys else got.issues
 
 
 def _rule(key: str) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        rows = _counted(spark, sf_dir)
-        found = rules.duplicate_issues(rows, key) if key.startswith("duplicate_") else rules.row_issues(rows, (key,))
-        return found.select("url", "issue_key", "severity")
+        return _issues(spark, sf_dir, key).select("url", "issue_key", "severity")
 
-    severity = rules.BY_KEY[key].severity
-    _query(f"{_OBS} SELECT normalized_url AS url, '{key}' AS issue_key, '{severity}' AS severity FROM crawled c WHERE {_PREDICATES[key]}", name=f"rule_{key}")(run)
+    _query(f"{_COUNTED} SELECT url, issue_key, severity FROM ({_JUDGED(key)})", name=f"rule_{key}")(run)
 
 
-for _key in _PREDICATES:
+for _key in _EXTENDED:
     _rule(_key)
 
 
-def _issues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules.all_issues(_counted(spark, sf_dir))
-
-
 @_query(f"{_ISSUES} SELECT url, issue_key, severity, category FROM issues")
 def issues_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _issues(spark, sf_dir).select("url", "issue_key", "severity", "category")
@@ -388,7 +491,7 @@ def urls_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query(f"""{_OBS} SELECT 'pages' AS session_id, count(*) AS total, count(*) FILTER (status_code BETWEEN 200 AND 299) AS n_2xx, count(*) FILTER (status_code BETWEEN 300 AND 399) AS n_3xx,
-count(*) FILTER (status_code BETWEEN 400 AND 499) AS n_4xx, count(*) FILTER (status_code BETWEEN 500 AND 599) AS n_5xx, count(*) FILTER (failed) AS n_failed, CAST(0 AS BIGINT) AS n_blocked,
+count(*) FILTER (status_code BETWEEN 400 AND 499) AS n_4xx, count(*) FILTER (status_code BETWEEN 500 AND 599) AS n_5xx, count(*) FILTER (failed) AS n_failed, count(*) FILTER (blocked) AS n_blocked,
 count(*) FILTER (is_indexable) AS n_indexable, count(*) / CAST(max(page_id) - min(page_id) AS DOUBLE) AS urls_per_second FROM crawled""")
 def session_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.session_stats(_crawled(spark, sf_dir))
@@ -439,8 +542,7 @@ def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("SELECT event_type, count(*) AS n FROM events GROUP BY 1")
 def stream_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The running counters after the stream has read all there is."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
-    where = f"{shared}/stream-{uuid.uuid4().hex}"
+    where = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     return E.run_once(E.counters(_stream(spark, sf_dir)), where, "stream_counters_result").select("event_type", "n")
 
 
@@ -480,15 +582,33 @@ def redirect_chain_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- exports, comparisons ----------------------------------------------------------
 
 
-@_query(f"""{_OBS} SELECT normalized_url AS "URL", coalesce(CAST(status_code AS VARCHAR), '') AS "Status Code", CAST(hops AS VARCHAR) AS "Redirect Chain Length", coalesce(title, '') AS "Title",
-CASE WHEN noindex THEN 'true' ELSE 'false' END AS "Noindex", coalesce(reason, '') AS "Indexability Reason", strftime(make_timestamp(page_id * 1000000), '%Y-%m-%dT%H:%M:%SZ') AS "Discovered At" FROM crawled""")
+_TRUTH = lambda x: f"CASE WHEN {x} THEN 'true' ELSE 'false' END"
+_TEXT = lambda x: f"coalesce(CAST({x} AS VARCHAR), '')"
+
+
+@_query(f"""{_COUNTED} SELECT normalized_url AS "URL", {_TEXT("status_code")} AS "Status Code", {_TEXT("final_url")} AS "Redirect URL", {_TEXT("hops")} AS "Redirect Chain Length", {_TEXT("title")} AS "Title", {_TEXT("title_length")} AS "Title Length",
+{_TEXT("meta_description")} AS "Meta Description", {_TEXT("meta_description_length")} AS "Meta Description Length", {_TEXT("h1")} AS "H1", {_TEXT("h1_count")} AS "H1 Count", {_TEXT("h2_count")} AS "H2 Count",
+{_TEXT("canonical_url")} AS "Canonical URL", {_TRUTH("canonical_url IS NULL OR canonical_url = normalized_url")} AS "Canonical Matches", {_TRUTH("noindex")} AS "Noindex", {_TRUTH("page_id % 31 = 0")} AS "Nofollow",
+{_TRUTH("is_indexable")} AS "Is Indexable", {_TEXT("reason")} AS "Indexability Reason", {_TRUTH("blocked")} AS "Blocked by Robots", {_TEXT("inlinks")} AS "Internal Inlinks", {_TEXT("out_internal")} AS "Internal Outlinks", {_TEXT("out_external")} AS "External Outlinks",
+{_TEXT("image_count")} AS "Images", {_TEXT("word_count")} AS "Word Count", 'text/html' AS "Content Type", {_TEXT("20 + (page_id * 37) % 900")} AS "Response Time (ms)", {_TEXT("octet_length(encode(html))")} AS "Content Size (bytes)", {_TEXT("crawl_depth")} AS "Crawl Depth", source AS "Source",
+strftime(make_timestamp(page_id * 1000000), '%Y-%m-%dT%H:%M:%SZ') AS "Discovered At" FROM counted""")
 def csv_export_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exports.url_rows(_counted(spark, sf_dir)).select("URL", "Status Code", "Redirect Chain Length", "Title", "Noindex", "Indexability Reason", "Discovered At")
+    """All 29 columns."""
+    return exports.url_rows(_audited(spark, sf_dir).urls)
+
+
+_CATALOGUE = ", ".join("(" + ", ".join("'" + x.replace("'", "''") + "'" for x in (d.key, d.title, d.description, d.remediation)) + ")" for d in rules.DEFINITIONS)
+
+
+@_query(f"""{_ISSUES}, texts(issue_key, title, description, remediation) AS (VALUES {_CATALOGUE})
+SELECT url AS "URL", issue_key AS "Issue Key", severity AS "Severity", category AS "Category", title AS "Title", description AS "Description", remediation AS "Remediation" FROM issues JOIN texts USING (issue_key)""")
+def csv_issue_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exports.issue_rows(_issues(spark, sf_dir))
 
 
 @_query(f"""{_OBS} SELECT CASE WHEN regexp_matches(title, '[,"\\n]') THEN '"' || replace(title, '"', '""') || '"' ELSE coalesce(title, '') END || ',' || CAST(word_count AS VARCHAR) AS line FROM crawled""")
 def csv_export_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exports.csv_lines(exports.url_rows(_counted(spark, sf_dir)).select("Title", "Word Count"))
+    return exports.csv_lines(exports.url_rows(_audited(spark, sf_dir).urls).select("Title", "Word Count"))
 
 
 @_query(f"""{_OBS} SELECT normalized_url AS loc, '  <url>' || chr(10) || '    <loc>' || replace(replace(replace(replace(replace(normalized_url, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&apos;') || '</loc>' || chr(10) || '  </url>' AS line FROM crawled WHERE is_indexable AND status_code = 200""")
@@ -502,9 +622,9 @@ def json_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("normalized_url", F.to_json(F.struct(F.col("crawl_depth").alias("crawlDepth"), F.col("is_indexable").alias("isIndexable"), F.col("word_count").alias("wordCount"))).alias("document"))
 
 
-@_query(f"{_ANCHORS} SELECT normalized_url FROM norm WHERE normalized_url NOT IN (SELECT target_url FROM anchors WHERE target_url <> source_url)")
+@_query(f"{_ANCHORS} SELECT normalized_url FROM norm WHERE normalized_url NOT IN (SELECT target_url FROM anchors WHERE target_url <> source_url AND is_internal)")
 def orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    crawled = crawl.crawled_urls(S.from_pages(_pages(spark, sf_dir)))
+    crawled = durable(crawl.crawled_urls(S.from_pages(site(spark, sf_dir))))
     return links.orphans(crawled, links.edges(links.anchors(crawled))).select("normalized_url")
 
 

@@ -17,7 +17,7 @@ ISSUES = "session_id string, url string, issue_key string, severity string, cate
 PAGE_FACTS = (
     "struct<title:string,meta_description:string,h1:string,h1_count:int,h2_count:int,canonical:string,robots:string,"
     "hreflang:array<struct<lang:string,url:string,region:string>>,og_title:string,og_description:string,"
-    "structured_data_types:array<string>,body_text:string,image_count:int,"
+    "structured_data_types:array<string>,body_text:string,image_count:int,bare_image_links:int,"
     "links:array<struct<url:string,tag:string,rel:string,anchor:string,nofollow:boolean>>>"
 )
 PARSED_ROBOTS = "struct<groups:array<struct<user_agents:array<string>,rules:array<struct<allow:boolean,path:string>>>>,sitemaps:array<string>,crawl_delay:double>"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from crawlgrain.config import CrawlConfig
@@ -59,6 +59,12 @@ def error_text(error: Column) -> Column:
     )
 
 
+def decoded_body(raw: Column) -> Column:
+    """A body's bytes as text: UTF-8 where they are valid UTF-8, else Latin-1."""
+    text = raw.cast("string")
+    return F.when(F.is_valid_utf8(text), text).otherwise(F.decode(raw, "ISO-8859-1"))
+
+
 def kept_body(body: Column, content_type: Column, config: CrawlConfig = CrawlConfig()) -> Column:
     """A body is analysed only if it is HTML and within the size limit."""
     return F.when(is_html(content_type) & (F.octet_length(body) <= config.max_response_body_bytes), body)
@@ -108,10 +114,9 @@ def follow_redirects(starts: DataFrame, redirects: DataFrame, max_hops: int = MA
     return done.unionByName(going.select("url", F.col("at").alias("final_url"), "redirect_chain", F.lit(True).alias("looped")))
 
 
-def request_gaps(fetches: DataFrame) -> DataFrame:
-    """(host, fetched_at, gap_seconds): how far apart the requests to each host were."""
-    from pyspark.sql import Window
-
+def request_gaps(fetches: DataFrame, config: CrawlConfig = CrawlConfig()) -> DataFrame:
+    """(host, fetched_at, gap_seconds, too_soon): how far apart a host's requests were, and whether nearer than the settings ask."""
     rows = fetches.select(urls.host(F.col("url")).alias("host"), "url", "fetched_at")
     order = Window.partitionBy("host").orderBy("fetched_at", "url")
-    return rows.select("host", "fetched_at", (F.unix_micros("fetched_at") - F.unix_micros(F.lag("fetched_at").over(order))).alias("gap_us")).select("host", "fetched_at", (F.col("gap_us") / 1e6).alias("gap_seconds"))
+    gaps = rows.select("host", "fetched_at", ((F.unix_micros("fetched_at") - F.unix_micros(F.lag("fetched_at").over(order))) / 1e6).alias("gap_seconds"))
+    return gaps.withColumn("too_soon", F.coalesce(F.col("gap_seconds") < 1 / config.requests_per_second_per_host, F.lit(False)))

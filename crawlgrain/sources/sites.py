@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crawlgrain.functions import robots as R
@@ -15,9 +15,19 @@ def seeds(text: DataFrame, column: str = "text") -> DataFrame:
     return text.select(F.explode(F.split(column, r"\R")).alias("line")).select(urls.trimmed(F.col("line")).alias("url")).where("url != ''")
 
 
-def robots_table(raw: DataFrame) -> DataFrame:
-    """(host, robots, crawl_delay, sitemaps) from (host, http_status, body): one row per host."""
-    one = raw.groupBy(F.lower("host").alias("host")).agg(F.min(F.struct("http_status", "body")).alias("r"))
+def read_bodies(spark: SparkSession, path: str) -> DataFrame:
+    """(url, body) of robots or sitemap files under a folder; those ending in .gz are unpacked. url is the file's."""
+    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("url"), F.col("value").alias("body"))
+
+
+def robots_table(raw: DataFrame, order: str | None = None) -> DataFrame:
+    """(host, robots, crawl_delay, sitemaps) from (host, http_status, body): one row per host.
+
+    Of several files of a host the last by the column `order` holds; without one, or
+    among equal ones, that of the largest status and body, so that the result is stable.
+    """
+    file = F.struct("http_status", "body")
+    one = raw.groupBy(F.lower("host").alias("host")).agg(F.max_by(file, F.struct(*([order] if order else []), "http_status", "body")).alias("r"))
     parsed = one.select("host", R.for_status(F.col("r.http_status"), F.col("r.body")).alias("robots"))
     return parsed.select("host", "robots", F.col("robots.crawl_delay").alias("crawl_delay"), F.col("robots.sitemaps").alias("sitemaps"))
 

@@ -19,16 +19,21 @@ def counters(events: DataFrame) -> DataFrame:
     return events.groupBy("event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
 
 
+def _marked(events: DataFrame, late: str) -> DataFrame:
+    """A stream with a watermark, which must be on timestamps with a time zone."""
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+
+
 def rates(events: DataFrame, width: str = "1 minute", late: str = "10 minutes") -> DataFrame:
     """(start, n, per_second) of tumbling windows; windows close when the watermark passes."""
     seconds = F.timestamp_diff("MICROSECOND", F.col("w.start"), F.col("w.end")) / 1e6
-    marked = events.withWatermark("ts", late) if events.isStreaming else events
+    marked = _marked(events, late) if events.isStreaming else events
     return marked.groupBy(F.window("ts", width).alias("w")).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "n", (F.col("n") / seconds).alias("per_second"))
 
 
 def distinct_events(events: DataFrame, late: str = "10 minutes") -> DataFrame:
     """Each event once; the state holds ids no longer than the watermark."""
-    return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"]) if events.isStreaming else events.dropDuplicates(["event_id"])
+    return _marked(events, late).dropDuplicatesWithinWatermark(["event_id"]) if events.isStreaming else events.dropDuplicates(["event_id"])
 
 
 def run_once(stream: DataFrame, checkpoint: str, name: str, mode: str = "complete") -> DataFrame:
