@@ -1,16 +1,19 @@
 """Near-duplicate vectors by a pivot-permutation index.
 
-Pivots are a bounded sample of the vectors. A vector is described by its nearest
-pivots; every pair of these is an inverted list that names it, so two vectors meet
-where they share two pivots or more, and are then verified by their cosine. A pair is
+Pivots are a bounded sample of the vectors. A vector is described by the permutation of
+its nearest pivots, in the order of their distance. Inverted lists are kept for pairs of
+the foremost of these: there are enough of them to stay short as the table grows. In a
+list, two vectors are retrieved if they share enough pivots at places of their
+permutations that are not far apart, and are then verified by their cosine. A pair is
 counted in the first of the lists that both are in. Lists of any length are compared
 whole: a long one is cut into blocks, and each pair of blocks is a task's work.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -23,19 +26,30 @@ from crawlgrain.llm.components import connected_components
 
 @dataclass(frozen=True)
 class PivotIndex:
-    """Parameters: the index is fitted on `sample` vectors, the smallest hashes of their ids.
+    """Parameters. Pivots are chosen from 8 vectors each, the smallest hashes of their ids, with cosines below `apart`.
 
-    Of these at most `pivots` are kept, with cosines below `apart`; nearest of them
-    describe a vector; block is the longest list compared at once.
+    There are `pivots` of them, or the square root of the number of vectors if that is
+    more, up to most_pivots. `nearest` of them describe a vector (one more for each
+    fourfold of `pivots`), the first `listed` name its lists. Two vectors are retrieved
+    if they share `shared` pivots at places at most `places` apart. block is the longest
+    list compared at once.
     """
 
-    sample: int = 2048
     pivots: int = 256
+    most_pivots: int = 8192
     apart: float = 0.6
-    nearest: int = 6
+    nearest: int = 8
+    listed: int = 6
+    shared: int = 3
+    places: int = 5
     threshold: float = 0.95
     block: int = 1500
 
+    def sized(self, n: int) -> PivotIndex:
+        """The parameters for n vectors."""
+        pivots = max(self.pivots, min(self.most_pivots, math.isqrt(max(n, 1))))
+        return replace(self, pivots=pivots, nearest=self.nearest + max(0, round(math.log(pivots / self.pivots, 4))))
+
 
 def _unit(rows: pa.Array, size: int) -> np.ndarray:
     x = rows.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, size)
@@ -72,17 +86,41 @@ def _two(lists: np.ndarray, others: np.ndarray, n_pivots: int) -> np.ndarray:
     return two[:, 0] * n_pivots + two[:, 1]
 
 
+def shared_counts(a: np.ndarray, b: np.ndarray, places: int) -> np.ndarray:
+    """For each row of a and of b, permutations of pivots, how many they share at most `places` apart.
+
+    The lists are merged by pivot: all that share one, less those that stand too far apart.
+    """
+    names, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    at = at.reshape(-1, a.shape[1])
+    one = np.zeros((2, len(at), len(names)), dtype=np.float32)  # pivots seen; those at the place in turn
+    one[0, np.arange(len(at))[:, None], at] = 1
+    n, k = len(a), a.shape[1]
+    out = one[0, :n] @ one[0, n:].T
+    for near in range(k - places - 1):
+        for x, y in ((slice(0, n), slice(n, None)), (slice(n, None), slice(0, n))):
+            first, late = np.zeros_like(one[0, x]), np.zeros_like(one[0, y])
+            first[np.arange(len(first)), at[x, near]] = 1
+            late[np.arange(len(late))[:, None], at[y, near + places + 1 :]] = 1
+            far = first @ late.T
+            out -= far if x.start == 0 else far.T
+    return out
+
+
 def _compare(key: int, x: np.ndarray, lists: np.ndarray, left: np.ndarray, right: np.ndarray, same: bool, p: PivotIndex) -> tuple[np.ndarray, np.ndarray]:
-    """Linked pairs of rows left x right that belong to this list."""
+    """Linked pairs of rows left x right that belong to this list: retrieved by their permutations, verified by cosine."""
     out = []
+    listed = np.sort(lists[:, : p.listed], axis=1)
     for at in range(0, len(left), 512):
-        i, j = np.nonzero(x[left[at : at + 512]] @ x[right].T >= p.threshold)
-        i, j = left[at : at + 512][i], right[j]
+        some = left[at : at + 512]
+        retrieved = shared_counts(lists[some], lists[right], p.places) >= min(p.shared, lists.shape[1])
+        i, j = np.nonzero(retrieved & (x[some] @ x[right].T >= p.threshold))
+        i, j = some[i], right[j]
         if same:
             i, j = i[i < j], j[i < j]
         for a in range(0, len(i), 100_000):
             b, c = i[a : a + 100_000], j[a : a + 100_000]
-            own = _two(lists[b], lists[c], p.pivots) == key
+            own = _two(listed[b], listed[c], p.pivots) == key
             out.append((b[own], c[own]))
     return (np.concatenate([a for a, _ in out]), np.concatenate([b for _, b in out])) if out else (left[:0], left[:0])
 
@@ -105,20 +143,28 @@ def links(vectors: DataFrame, p: PivotIndex = PivotIndex()) -> DataFrame:
 
 
 def _links(vectors: DataFrame, d: int, p: PivotIndex) -> DataFrame:
-    sample = vectors.orderBy(F.xxhash64("node"), "node").limit(p.sample).select("embedding").toArrow()
+    p = p.sized(vectors.count())
+    sample = vectors.orderBy(F.xxhash64("node"), "node").limit(8 * p.pivots).select("embedding").toArrow()
     pivots = _spread(_unit(sample.column(0).combine_chunks(), d), p)
     k = min(p.nearest, len(pivots))
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = _unit(batch.column("embedding"), d)
-            near = np.sort(np.argpartition(-(x @ pivots.T), k - 1, axis=1)[:, :k], axis=1) if k else np.zeros((len(x), 0), dtype=np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("copies"), batch.column("embedding"), pa.array(list(near.astype(np.int32)), pa.list_(pa.int32()))], ["node", "copies", "embedding", "near"])
-
-    index = durable(vectors.select("node", "copies", F.col("embedding").cast("array<float>")).mapInArrow(tidied(describe), "node long, copies long, embedding array<float>, near array<int>"))
-    # every two of a vector's pivots, and the first alone where there is only one pivot at all
+            near = np.zeros((len(x), k), dtype=np.int32)
+            for at in range(0, len(x), 2048):
+                cosine = x[at : at + 2048] @ pivots.T
+                some = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
+                order = np.argsort(-np.take_along_axis(cosine, some, axis=1), axis=1, kind="stable")
+                near[at : at + 2048] = np.take_along_axis(some, order, axis=1)
+            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("copies"), batch.column("embedding"), pa.array(list(near), pa.list_(pa.int32()))], ["node", "copies", "embedding", "near"])
+
+    kind = vectors.schema["embedding"].dataType.simpleString()
+    index = durable(vectors.select("node", "copies", "embedding").mapInArrow(tidied(describe), f"node long, copies long, embedding {kind}, near array<int>"))
+    # every two of a vector's foremost pivots, and the first alone where there is only one pivot at all
     n = F.lit(p.pivots)
-    keys = F.expr(f"flatten(transform(near, (a, i) -> transform(slice(near, i + 2, {p.nearest}), b -> a * {p.pivots} + b)))") if k > 1 else F.array(F.col("near")[0] * n)
+    listed = F.array_sort(F.slice("near", 1, p.listed))
+    keys = F.flatten(F.transform(listed, lambda a, i: F.transform(F.slice(listed, i + 2, F.lit(p.listed)), lambda b: a * n + b))) if k > 1 else F.array(F.col("near")[0] * n)
     dealt = index.withColumn("key", F.explode(keys))
     cuts = dealt.groupBy("key").count().select("key", F.ceil(F.col("count") / p.block).alias("cuts"))
     # a row of block i meets block j in the task of (min, max): it goes to as many tasks as there are blocks
@@ -184,7 +230,9 @@ def near_duplicates(embeddings: DataFrame, p: PivotIndex = PivotIndex(), id_colu
     are rows of their own; a null id has null component and isn't kept; an empty table
     gives no rows; other columns are ignored.
     """
-    rows = embeddings.select(embeddings[id_column].cast("long").alias("vec_id"), embeddings[vector_column].cast("array<float>").alias("embedding"))
+    given = embeddings.schema[vector_column].dataType.simpleString()
+    kind = given if given in ("array<float>", "array<double>") else "array<double>"
+    rows = embeddings.select(embeddings[id_column].cast("long").alias("vec_id"), embeddings[vector_column].cast(kind).alias("embedding"))
     rows = rows.withColumn("fine", valid("embedding"))
     rows = rows.withColumn("k1", F.when(F.col("fine"), F.xxhash64("embedding"))).withColumn("k2", F.when(F.col("fine"), F.hash("embedding")))
     nodes = durable(rows.where("fine and vec_id is not null").groupBy("k1", "k2").agg(F.min("vec_id").alias("node"), F.count("*").alias("copies"), F.first("embedding").alias("embedding")))

@@ -67,3 +67,42 @@ def test_null_ids_repeats_and_empty_tables(spark):
     assert sorted((x.vec_id is None, x.vec_id, x.kept) for x in got) == [(False, 3, True), (False, 3, True), (True, None, False)]
     assert P.near_duplicates(table(spark, [])).collect() == []
     assert [x.n_links for x in P.near_duplicates(table(spark, [(1, None), (2, [0, 0])])).collect()] == [0, 0]
+
+
+def test_shared_counts_are_those_of_the_permutations():
+    rng = np.random.default_rng(4)
+    a, b = (np.stack([rng.permutation(14)[:8] for _ in range(n)]) for n in (30, 40))
+    got = P.shared_counts(a, b, 4)
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            places = {int(v): k for k, v in enumerate(y)}
+            assert got[i, j] == sum(int(v) in places and abs(places[int(v)] - k) <= 4 for k, v in enumerate(x))
+
+
+@pytest.mark.parametrize("d", [16, 64, 256])
+def test_recall_of_random_pairs_at_the_threshold(spark, d):
+    rng = np.random.default_rng(d)
+    unit = lambda x: x / np.linalg.norm(x, axis=1)[:, None]
+    x = unit(rng.normal(size=(700, d)))
+    z = rng.normal(size=x.shape)
+    z = unit(z - (z * x).sum(axis=1)[:, None] * x)
+    y = 0.952 * x + np.sqrt(1 - 0.952**2) * z
+    rows = [(k, v) for k, v in enumerate(np.concatenate([x, y]))]
+    got = P.near_duplicates(table(spark, rows)).collect()
+    want = brute(rows)
+    assert sum(r.n_links for r in got) >= 0.97 * sum(n for n, _, _ in want.values()) > 0
+
+
+def test_doubles_stay_doubles(spark):
+    """Two vectors whose cosine is under the limit in double precision, and not in single."""
+    c = 0.95 - 1e-9
+    rows = [(1, [1.0, 0.0]), (2, [c, float(np.sqrt(1 - c * c))])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert [x.n_links for x in P.near_duplicates(df).collect()] == [0, 0]
+
+
+def test_lists_stay_short_as_tables_grow():
+    p = P.PivotIndex()
+    for n in (10**4, 10**6, 10**7):
+        q = p.sized(n)
+        assert 15 * n / (q.pivots**2 / 2) < 200
