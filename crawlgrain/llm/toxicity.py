@@ -8,6 +8,7 @@ word of every document in one pass, without a shuffle.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crawlgrain.llm import words as W
-from crawlgrain.llm.cluster import tidied
+from crawlgrain.llm.cluster import durable, tidied
 
 U64 = np.uint64
 HASH_BITS = 20
@@ -30,8 +31,10 @@ SCHEMA = "doc_id long, severity double, p_toxic double, grade int, toxic boolean
 GRADE_CUTS = (2, 5)
 #: A document is toxic if P(grade > 0) reaches this.
 CUT = 0.4
-_SIGNATURES = 8
+#: Two labelled documents of a class are near copies if so many of their signatures agree.
+_SIGNATURES, _AGREE = 8, 7
 _RUN = 3
+_SAMPLED = "doc_id long, toxic int, grade int, feats array<int>, counts array<int>, signs array<long>"
 
 
 def _features(texts: pa.Array) -> tuple[W.Words, list[np.ndarray]]:
@@ -123,50 +126,96 @@ def _sample_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), batch.column("grade"), pa.array(feats, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32())), pa.array(signs, pa.list_(pa.int64()))], ["doc_id", "toxic", "grade", "feats", "counts", "signs"])
 
 
+def _copies_once(toxic: np.ndarray, signs: list[list[int]]) -> np.ndarray:
+    """Rows without those of which an earlier kept row of the same class is a near copy."""
+    kept: list[int] = []
+    index: dict[tuple[int, int, int], list[int]] = {}
+    for i, mine in enumerate(signs):
+        keys = [(int(toxic[i]), k, x) for k, x in enumerate(mine)]
+        agree = Counter(j for key in keys for j in index.get(key, ()))
+        if max(agree.values(), default=0) < _AGREE:
+            kept.append(i)
+            for key in keys:
+                index.setdefault(key, []).append(i)
+    return np.array(kept, dtype=np.int64)
+
+
+def _feature_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(feature, toxic documents, others) of a partition's documents."""
+    total = np.zeros((2, 1 << HASH_BITS), dtype=np.int64)
+    for batch in batches:
+        feats, toxic = batch.column("feats"), batch.column("toxic").to_numpy()
+        cols = feats.flatten().to_numpy()
+        of = np.repeat(toxic, pc.list_value_length(feats).to_numpy())
+        for k in (0, 1):
+            total[k] += np.bincount(cols[of == k], minlength=1 << HASH_BITS)
+    hit = np.flatnonzero(total.any(axis=0))
+    yield pa.RecordBatch.from_arrays([pa.array(hit), pa.array(total[1, hit]), pa.array(total[0, hit])], ["feat", "n1", "n0"])
+
+
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, grade_column: str | None = None) -> OrdinalModel:
     """Fits on at most `sample` labelled documents of each class (toxic 1 and 0).
 
-    Near copies in the sample count once, as do repeated labels of a doc_id; labels
-    without a document, null labels and null ids are left out. Features are those that
-    stand in toxic documents far more often than in others. `grade_column` of labels
-    may hold grades from 0 (not toxic) up; without one, a toxic document is graded by
-    how many of its words have such a feature (GRADE_CUTS). Without documents of both
-    classes the model finds nothing toxic.
+    Near copies in the sample (7 of 8 signatures, within a class) count once, as do
+    repeated labels of a doc_id; documents labelled both 1 and 0 are left out, as are
+    labels without a document, null labels and null ids. Features are those that stand
+    in toxic documents far more often than in others. `grade_column` of labels may hold
+    grades from 0 (not toxic) up, of which the largest of a doc_id holds; without one,
+    grades are derived: a toxic document is graded by how many of its words have such a
+    feature (GRADE_CUTS), so severity then says how much toxic wording there is, not
+    how people would grade it. Without documents of both classes the model finds
+    nothing toxic. Features are counted on the cluster; the driver gets signatures of
+    the sample and the counts of chosen features alone.
     """
-    known = labels.where("doc_id is not null and toxic in (0, 1)")
-    known = known.select("doc_id", F.col("toxic").cast("int").alias("toxic"), (F.col(grade_column) if grade_column else F.lit(None)).cast("int").alias("grade"))
+    known = labels.where("doc_id is not null and toxic in (0, 1)").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"), (F.col(grade_column) if grade_column else F.lit(None)).cast("int").alias("grade"))
+    known = durable(known.groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("most"), F.max("grade").alias("grade")).where("toxic = most").drop("most"))
     sizes = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    few = [known.where(F.col("toxic") == k).dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for k in (0, 1)]
+    few = [known.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for k in (0, 1)]
     picked = F.broadcast(few[0].unionByName(few[1]))  # at most 2 * sample rows of three numbers
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(picked, "doc_id").select("doc_id", "text", "toxic", "grade")
-    got = texts.mapInArrow(tidied(_sample_task), "doc_id long, toxic int, grade int, feats array<int>, counts array<int>, signs array<long>").toArrow().sort_by([("doc_id", "ascending")])
-    toxic, kept, seen = got.column("toxic").to_numpy(), [], set()
-    for i, signs in enumerate(got.column("signs").to_pylist()):
-        marks = {(k, x) for k, x in enumerate(signs)}
-        if not marks & seen:
-            kept.append(i)
-        seen |= marks
-    rows_kept = np.array(kept, dtype=np.int64)
-    got, toxic = got.take(pa.array(rows_kept)), toxic[rows_kept]
-    n_toxic, n_clean = int((toxic == 1).sum()), int((toxic == 0).sum())
+    got = durable(texts.mapInArrow(tidied(_sample_task), _SAMPLED).select("*", F.xxhash64("feats").alias("key")))
     none = OrdinalModel(np.zeros(1 << HASH_BITS), np.array([50.0]))
+    marks = got.select("doc_id", "key", "toxic", "signs").toArrow().sort_by([("doc_id", "ascending"), ("key", "ascending")])
+    marks = marks.take(pa.array(_copies_once(marks.column("toxic").to_numpy(), marks.column("signs").to_pylist())))
+    toxic = marks.column("toxic").to_numpy()
+    n_toxic, n_clean = int((toxic == 1).sum()), int((toxic == 0).sum())
     if not n_toxic or not n_clean:
         return none
-    feats = got.column("feats").combine_chunks()
-    cols, values = feats.flatten().to_numpy(), got.column("counts").combine_chunks().flatten().to_numpy()
-    rows = np.repeat(np.arange(len(got)), pc.list_value_length(feats).to_numpy())
-    inside = [np.bincount(cols[toxic[rows] == k], minlength=1 << HASH_BITS) for k in (0, 1)]
+    place = {x: k for k, x in reversed(list(enumerate(zip(marks.column("doc_id").to_pylist(), marks.column("key").to_pylist(), strict=True))))}
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([x in place for x in zip(batch.column("doc_id").to_pylist(), batch.column("key").to_pylist(), strict=True)], pa.bool_()))
+
+    rest = got.mapInArrow(kept, _SAMPLED + ", key long").dropDuplicates(["doc_id", "key"])
+    counts = rest.mapInArrow(_feature_counts, "feat long, n1 long, n0 long").groupBy("feat").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
+    counts = counts.where((F.col("n1") + 0.5) / (n_toxic + 1) >= 8 * (F.col("n0") + 0.5) / (n_clean + 1)).toArrow()  # part of what _telling() asks
+    inside = np.zeros((2, 1 << HASH_BITS), dtype=np.int64)
+    feat = counts.column("feat").to_numpy()
+    inside[1, feat], inside[0, feat] = counts.column("n1").to_numpy(), counts.column("n0").to_numpy()
     chosen = _telling(inside[1], inside[0], n_toxic, n_clean)
-    hit = chosen[cols]
-    rows, cols, values = rows[hit], cols[hit], values[hit]
-    ids, cols = np.unique(cols, return_inverse=True)
+
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("feats")
+            row = np.repeat(np.arange(len(batch)), pc.list_value_length(lists).to_numpy())
+            cols, n = lists.flatten().to_numpy(), batch.column("counts").flatten().to_numpy()
+            hit = chosen[cols]
+            at = pa.array(row[hit])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(at), batch.column("key").take(at), batch.column("grade").take(at), pa.array(cols[hit]), pa.array(n[hit])], ["doc_id", "key", "grade", "feat", "n"])
+
+    found = rest.mapInArrow(told, "doc_id long, key long, grade int, feat int, n int").toArrow()
+    rows = np.array([place[x] for x in zip(found.column("doc_id").to_pylist(), found.column("key").to_pylist(), strict=True)], dtype=np.int64)
+    values = found.column("n").to_numpy()
+    ids, cols = np.unique(found.column("feat").to_numpy(), return_inverse=True)
     if not len(ids):
         return none
     if grade_column:
-        grades = got.column("grade").fill_null(0).to_numpy().clip(0)
+        graded = {x["doc_id"]: x["grade"] for x in few[0].unionByName(few[1]).select("doc_id", "grade").collect()}
+        grades = np.array([max(0, graded.get(i) or 0) for i in marks.column("doc_id").to_pylist()], dtype=np.int64)
     else:
         # a word and its beginnings are counted once: by the feature kind that it has most of
-        hits = np.bincount(rows, weights=values, minlength=len(got)) / (1 + len(PREFIXES)) * 2
+        hits = np.bincount(rows, weights=values, minlength=len(marks)) / (1 + len(PREFIXES)) * 2
         grades = np.where(toxic == 1, 1 + np.searchsorted(GRADE_CUTS, hits, "left"), 0)
     n_grades = max(2, int(grades.max()) + 1)
     weight = np.where(toxic == 1, sizes.get(1, 0) / n_toxic, sizes.get(0, 0) / n_clean)

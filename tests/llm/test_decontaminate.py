@@ -59,8 +59,24 @@ def test_against_the_definition(spark):
     assert got == want and len(got) > 20
     kept = D.clean(docs(spark, rows), bench(spark, items))
     assert sorted(x.doc_id for x in kept.collect()) == sorted({i for i, _ in rows} - {i for i, _ in want})
-    parts = {(x.doc_id, x.item_id) for x in D.contaminated(docs(spark, rows), bench(spark, items), part_bytes=100).collect()}
-    assert parts == {*want}
+    far = {(x.doc_id, x.item_id): round(x.coverage, 9) for x in D.contaminated(docs(spark, rows), bench(spark, items), part_bytes=100).collect()}
+    assert far == want
+    kept = D.clean(docs(spark, rows), bench(spark, items), part_bytes=100)
+    assert sorted(x.doc_id for x in kept.collect()) == sorted({i for i, _ in rows} - {i for i, _ in want}) and kept.columns == docs(spark, rows).columns
+
+
+def test_a_run_of_words_in_every_item_is_not_looked_up(spark):
+    common = "these are the five words"
+    r = random.Random(8)
+    other = lambda n: " ".join(f"o{r.randrange(10**6)}" for _ in range(n))
+    items = [(k, f"{common} {other(20)}") for k in range(300)]
+    rows = [(0, f"{common} " * 3000), (1, items[5][1]), (2, f"{other(9)} {items[7][1]} {common}"), (3, other(50))]
+    got = [(x.doc_id, x.item_id) for b in (1 << 20, 100) for x in D.contaminated(docs(spark, rows), bench(spark, items), part_bytes=b).collect()]
+    assert sorted(got) == [(1, 5), (1, 5), (2, 7), (2, 7)]
+    import pyarrow as pa
+
+    seeds = D.Seeds([k for k, _ in items], pa.array([t for _, t in items]), 5, 0.6)
+    assert len(seeds.hits(D.W.windows(D._split(pa.array([common])).hashes()[0], D._split(pa.array([common])).doc, 5)[1])[0]) == 0
 
 
 def test_edges(spark):
@@ -69,6 +85,8 @@ def test_edges(spark):
     items = [(7, passage), (8, None), (9, ""), (10, "too short"), (None, passage)]
     got = sorted(((x.doc_id, x.item_id, len(x.tiles)) for x in D.contaminated(docs(spark, rows), bench(spark, items)).collect()), key=str)
     assert got == sorted([(d, i, 2 if d == 5 else 1) for d in (1, 1, None, 5) for i in (7, None)], key=str)
-    assert D.contaminated(docs(spark, []), bench(spark, items)).collect() == []
+    far = D.contaminated(docs(spark, rows), bench(spark, items), part_bytes=1)
+    assert sorted(((x.doc_id, x.item_id, len(x.tiles)) for x in far.collect()), key=str) == got
+    assert D.contaminated(docs(spark, []), bench(spark, items)).collect() == [] == D.contaminated(docs(spark, []), bench(spark, items), part_bytes=1).collect()
     assert D.contaminated(docs(spark, rows), bench(spark, [])).collect() == []
     assert D.clean(docs(spark, rows), bench(spark, [])).count() == len(rows)

@@ -41,6 +41,50 @@ def test_held_out_accuracy(spark, corpus):
     assert got[got.grade >= 2].severity.mean() > got[got.grade == 1].severity.mean() > got[got.grade == 0].severity.mean()
 
 
+def test_scores_are_the_model_written_out(spark):
+    """Severity, probability and grade of each text, word by word in plain Python."""
+    import math
+    import re
+    from collections import Counter
+
+    import pyarrow as pa
+
+    rng, r = np.random.default_rng(2), random.Random(2)
+    weights = np.where(rng.random(1 << T.HASH_BITS) < 0.3, rng.normal(size=1 << T.HASH_BITS), 0)
+    model = T.OrdinalModel(weights, np.array([0.5, 1.5, 3.0]))
+    words = ["".join(r.choice("abcdefÉß") for _ in range(r.randint(1, 9))) for _ in range(60)]
+    rows = [(k, " ".join(r.choice(words) + r.choice(["", ".", "!"]) for _ in range(r.randint(0, 40)))) for k in range(50)] + [(90, None), (91, "")]
+
+    def features(word):
+        return [int(f[0]) for f in T._features(pa.array([word]))[1] if f[0] >= 0]
+
+    got = {x.doc_id: x for x in T.score(docs(spark, rows), model).collect()}
+    for i, text in rows:
+        n = Counter(f for w in re.findall(r"[a-z0-9\u0080-\uffff]+", (text or "").lower()) for f in features(w))
+        s = sum(weights[f] * (1 + math.log(c)) for f, c in n.items())
+        p = [1 / (1 + math.exp(t - s)) for t in model.thresholds]
+        assert math.isclose(got[i].severity, sum(p), abs_tol=1e-9) and math.isclose(got[i].p_toxic, p[0], abs_tol=1e-9)
+        assert got[i].grade == sum(x >= 0.5 for x in p) and got[i].toxic == (p[0] >= T.CUT)
+
+
+def test_labels_that_conflict_or_repeat(spark):
+    rows = [(k, f"some plain words of text number {k} here" + (" slurword" if k % 2 else "")) for k in range(200)]
+    sure = [(k, 1, k % 2) for k in range(200)]
+    schema = "doc_id long, quality int, toxic int"
+    one = T.fit(docs(spark, rows), spark.createDataFrame(sure, schema))
+    repeated = T.fit(docs(spark, rows), spark.createDataFrame(sure * 2, schema))
+    assert (one.weights == repeated.weights).all()
+    conflicting = T.fit(docs(spark, rows), spark.createDataFrame(sure + [(k, 1, 1 - k % 2) for k in range(0, 200, 10)], schema))
+    without = T.fit(docs(spark, rows), spark.createDataFrame([x for x in sure if x[0] % 10], schema))
+    assert (conflicting.weights == without.weights).all() and (conflicting.weights != 0).any()
+
+
+def test_near_copies_count_once_within_a_class():
+    a, b = list(range(8)), [*range(7), 99]
+    got = T._copies_once(np.array([1, 1, 0, 1, 1]), [a, b, a, [*range(6), 98, 99], []])
+    assert got.tolist() == [0, 2, 3, 4]
+
+
 def test_edges(spark):
     r = random.Random(1)
     rows = [(k, " ".join(r.choice("abcdefgh") + r.choice("abcdefgh") * 3 + str(r.randrange(40)) for _ in range(30)) + (" slurword" if k % 2 else "")) for k in range(300)]
