@@ -17,6 +17,7 @@ Step groups hold sequences of one length, and the same number of tokens each.
 from __future__ import annotations
 
 import gc
+import json
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import chain
@@ -53,13 +54,23 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def _parts_words(settings: dict) -> bool:
+    """Whether a tokenizer's settings are those that WordTokens takes apart: lower case, letters, digits and marks apart."""
+    steps = lambda part, key: [x for x in [part, *((part or {}).get(key) or ())] if x and "Sequence" != x["type"]]
+    normal, cut = steps(settings.get("normalizer"), "normalizers"), steps(settings.get("pre_tokenizer"), "pretokenizers")
+    split = [x for x in cut if x["type"] == "Split"]
+    apart = len(split) == 1 and split[0]["behavior"] == "Removed" and split[0]["invert"] and split[0]["pattern"].get("Regex", "").endswith(r"[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+    return apart and {x["type"] for x in normal} == {"NFC", "Replace", "Lowercase"} and {x["type"] for x in cut} <= {"Split", "ByteLevel"}
+
+
 class WordTokens:
     """Ids of texts as little-endian unsigned 32-bit integers.
 
-    The tokenizer lower-cases, never joins what white space parts, and parts letters
-    from punctuation. So a text's ids are those of its words in a row, a word's ids are
-    those of its stem and of the punctuation after it, and each distinct stem is encoded
-    once for as long as it is kept: two generations of at most _WORDS_KEPT words.
+    A tokenizer that lower-cases, never joins what white space parts, and parts letters
+    from punctuation has a text's ids as those of its words in a row, and a word's ids as
+    those of its stem and of the punctuation after it; so each distinct stem is encoded
+    once for as long as it is kept: two generations of at most _WORDS_KEPT words. By
+    other tokenizers whole texts are encoded.
     """
 
     def __init__(self, path: str):
@@ -69,11 +80,17 @@ class WordTokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            self.by_word = _parts_words(json.load(f))
         self.known: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
 
     def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, and where each text's begin."""
+        if not self.by_word:
+            lists = [e.ids for e in self.tokenizer.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
+            bounds = np.concatenate([[0], np.cumsum([len(x) for x in lists], dtype=np.int64)])
+            return np.fromiter(chain.from_iterable(lists), dtype="<u4", count=bounds[-1]), bounds
         if not pc.any(pc.match_substring(texts, pattern="<|")).as_py():  # special tokens are told by their case
             texts = pc.ascii_lower(texts)
         w = W.split(texts)

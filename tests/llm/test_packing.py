@@ -75,3 +75,42 @@ def test_repeated_rows_and_empty_tables(spark):
     twice = packing.pack_documents(docs(spark, [(1, "same"), (1, "same")]), p).collect()
     assert sum(x.length for x in twice) == 2 * twice[0].doc_tokens
     assert packing.pack_documents(docs(spark, []), p).collect() == []
+
+
+def test_other_tokenizers_encode_whole_texts():
+    import pyarrow as pa
+
+    path = packing.tokenizer_path("byte_bpe_50k.json")
+    words, plain = packing.WordTokens(path), Tokenizer.from_file(path)
+    assert not words.by_word and packing.WordTokens(packing.tokenizer_path()).by_word
+    ids, bounds = words.encode_all(pa.array([*TRICKY, "", "Upper lower"]))
+    for k, t in enumerate([*TRICKY, "", "Upper lower"]):
+        assert ids[bounds[k] : bounds[k + 1]].tolist() == plain.encode(t, add_special_tokens=False).ids
+
+
+def test_a_task_that_fails_leaves_the_worker_as_it_was(monkeypatch):
+    import gc
+
+    import pyarrow as pa
+
+    taken = {}
+
+    class Docs:
+        def __getitem__(self, name):
+            return self
+
+        def cast(self, kind):
+            return self
+
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, task, schema):  # noqa: N802
+            taken["task"] = task
+
+    packing.pack_documents(Docs(), packing.Packing(packing.tokenizer_path()))
+    monkeypatch.setattr(packing.WordTokens, "encode_all", lambda self, texts: 1 / 0)
+    monkeypatch.setattr("pyspark.TaskContext.get", lambda: type("T", (), {"partitionId": lambda self: 0})())
+    with pytest.raises(ZeroDivisionError):
+        list(taken["task"](iter([pa.RecordBatch.from_arrays([pa.array([1]), pa.array(["x"])], ["doc_id", "text"])])))
+    assert gc.isenabled()
