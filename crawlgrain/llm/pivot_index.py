@@ -86,41 +86,37 @@ def _two(lists: np.ndarray, others: np.ndarray, n_pivots: int) -> np.ndarray:
     return two[:, 0] * n_pivots + two[:, 1]
 
 
-def shared_counts(a: np.ndarray, b: np.ndarray, places: int) -> np.ndarray:
-    """For each row of a and of b, permutations of pivots, how many they share at most `places` apart.
-
-    The lists are merged by pivot: all that share one, less those that stand too far apart.
-    """
-    names, at = np.unique(np.concatenate([a, b]), return_inverse=True)
-    at = at.reshape(-1, a.shape[1])
-    one = np.zeros((2, len(at), len(names)), dtype=np.float32)  # pivots seen; those at the place in turn
-    one[0, np.arange(len(at))[:, None], at] = 1
-    n, k = len(a), a.shape[1]
-    out = one[0, :n] @ one[0, n:].T
-    for near in range(k - places - 1):
-        for x, y in ((slice(0, n), slice(n, None)), (slice(n, None), slice(0, n))):
-            first, late = np.zeros_like(one[0, x]), np.zeros_like(one[0, y])
-            first[np.arange(len(first)), at[x, near]] = 1
-            late[np.arange(len(late))[:, None], at[y, near + places + 1 :]] = 1
-            far = first @ late.T
-            out -= far if x.start == 0 else far.T
+def _incidence(lists: np.ndarray) -> np.ndarray:
+    """A row for each permutation, with a one for each pivot in it: products of rows count shared pivots."""
+    names, at = np.unique(lists, return_inverse=True)
+    out = np.zeros((len(lists), len(names)), dtype=np.float32)
+    out[np.arange(len(lists))[:, None], at.reshape(lists.shape)] = 1
     return out
 
 
+def shared_near(a: np.ndarray, b: np.ndarray, places: int) -> np.ndarray:
+    """How many pivots each row of a shares with that of b, at most `places` apart in the two permutations."""
+    place = np.arange(a.shape[1])
+    near = np.abs(place[:, None] - place[None, :]) <= places
+    return ((a[:, :, None] == b[:, None, :]) & near).sum(axis=(1, 2))
+
+
 def _compare(key: int, x: np.ndarray, lists: np.ndarray, left: np.ndarray, right: np.ndarray, same: bool, p: PivotIndex) -> tuple[np.ndarray, np.ndarray]:
     """Linked pairs of rows left x right that belong to this list: retrieved by their permutations, verified by cosine."""
     out = []
+    first, enough = min(left[0], right[0]), min(p.shared, lists.shape[1])
+    pivots = _incidence(lists[first : max(left[-1], right[-1]) + 1])
     listed = np.sort(lists[:, : p.listed], axis=1)
     for at in range(0, len(left), 512):
         some = left[at : at + 512]
-        retrieved = shared_counts(lists[some], lists[right], p.places) >= min(p.shared, lists.shape[1])
+        retrieved = pivots[some - first] @ pivots[right - first].T >= enough
         i, j = np.nonzero(retrieved & (x[some] @ x[right].T >= p.threshold))
         i, j = some[i], right[j]
         if same:
             i, j = i[i < j], j[i < j]
         for a in range(0, len(i), 100_000):
             b, c = i[a : a + 100_000], j[a : a + 100_000]
-            own = _two(listed[b], listed[c], p.pivots) == key
+            own = (_two(listed[b], listed[c], p.pivots) == key) & (shared_near(lists[b], lists[c], p.places) >= enough)
             out.append((b[own], c[own]))
     return (np.concatenate([a for a, _ in out]), np.concatenate([b for _, b in out])) if out else (left[:0], left[:0])
 

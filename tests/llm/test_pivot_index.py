@@ -71,12 +71,13 @@ def test_null_ids_repeats_and_empty_tables(spark):
 
 def test_shared_counts_are_those_of_the_permutations():
     rng = np.random.default_rng(4)
-    a, b = (np.stack([rng.permutation(14)[:8] for _ in range(n)]) for n in (30, 40))
-    got = P.shared_counts(a, b, 4)
+    a = np.stack([rng.permutation(14)[:8] for _ in range(40)])
+    one = P._incidence(a)
     for i, x in enumerate(a):
-        for j, y in enumerate(b):
-            places = {int(v): k for k, v in enumerate(y)}
-            assert got[i, j] == sum(int(v) in places and abs(places[int(v)] - k) <= 4 for k, v in enumerate(x))
+        places = {int(v): k for k, v in enumerate(x)}
+        assert [int(n) for n in one[i] @ one.T] == [len({*x.tolist()} & {*y.tolist()}) for y in a]
+        near = [sum(int(v) in places and abs(places[int(v)] - k) <= 4 for k, v in enumerate(y)) for y in a]
+        assert P.shared_near(np.repeat(x[None], len(a), axis=0), a, 4).tolist() == near
 
 
 @pytest.mark.parametrize("d", [16, 64, 256])
