@@ -40,3 +40,10 @@ def xml_escaped(c: Column) -> Column:
 def contains_fold(c: Column, needle: str) -> Column:
     """Case-insensitive substring test; null holds nothing."""
     return F.contains(F.lower(F.coalesce(c, F.lit(""))), F.lit(needle.lower()))
+
+
+def byte_size(n: Column) -> Column:
+    """A number of bytes as people read it, in steps of a thousand: no decimals for KB, one for MB, two above."""
+    short = lambda x, digits: F.regexp_replace(F.regexp_replace(F.format_number(x, digits), ",", ""), r"\.?0+$" if digits else "$^", "")
+    unit = lambda power, digits, name: F.concat(short(n / 10.0**power, digits), F.lit(name))
+    return F.when(n == 0, "Zero KB").when(n == 1, "1 byte").when(n < 1000, F.concat(n.cast("string"), F.lit(" bytes"))).when(n < 999_500, unit(3, 0, " KB")).when(n < 999_950_000, unit(6, 1, " MB")).otherwise(unit(9, 2, " GB"))

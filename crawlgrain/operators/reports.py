@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from crawlgrain.functions import text
@@ -14,6 +14,16 @@ def by_status(crawled: DataFrame, kind: str = "all") -> DataFrame:
     return crawled if kind == "all" else crawled.where(F.col("status_code").between(int(kind[0]) * 100, int(kind[0]) * 100 + 99))
 
 
+def status_label(status: Column) -> Column:
+    """The class of a status: 2xx to 5xx, null for others."""
+    return F.when(status.between(200, 599), F.concat(F.floor(status / 100).cast("string"), F.lit("xx")))
+
+
+def severity_label(severity: Column) -> Column:
+    """A severity as people read it; null if it is unknown."""
+    return F.when(severity.isin(*SEVERITIES), F.initcap(severity))
+
+
 def by_indexable(crawled: DataFrame, wanted: bool | None = None) -> DataFrame:
     return crawled if wanted is None else crawled.where(F.col("is_indexable") == wanted)
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from crawlgrain.config import CrawlConfig
 from crawlgrain.cuts import shared_folder
-from crawlgrain.functions import dates, robots, urls
+from crawlgrain.functions import dates, robots, text, urls
 from crawlgrain.functions.html import page_facts
 from crawlgrain.operators import crawl, exports, frontier, links, reports, rules, tables
 from crawlgrain.plans.audit import audit
@@ -447,6 +447,21 @@ def stream_resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.table("stream_resumed_first").select("event_type", "n")
 
 
+@_query("SELECT event_id FROM events")
+def stream_paused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream paused twice and cancelled once writes every event once."""
+    where = f"{shared_folder(spark)}/paused-{uuid.uuid4().hex}"
+    events = _stream(spark, sf_dir).select("event_id")
+    for stop in (E.pause, E.cancel, E.pause):
+        stop(E.start(events, f"{where}/out", f"{where}/state"))
+    return spark.read.parquet(f"{where}/out")
+
+
+_cases("byte_sizes", "bytes long", [(0, "Zero KB"), (1, "1 byte"), (999, "999 bytes"), (1000, "1 KB"), (1499, "1 KB"), (999_499, "999 KB"), (1_200_000, "1.2 MB"), (2_000_000, "2 MB"), (3_140_000_000, "3.14 GB"), (None, None)], lambda: F.when(F.col("bytes").isNotNull(), text.byte_size(F.col("bytes"))))
+_cases("status_labels", "status int", [(200, "2xx"), (301, "3xx"), (404, "4xx"), (599, "5xx"), (600, None), (None, None)], lambda: reports.status_label(F.col("status")))
+_cases("severity_labels", "severity string", [("error", "Error"), ("warning", "Warning"), ("opportunity", "Opportunity"), ("info", "Info"), ("odd", None)], lambda: reports.severity_label(F.col("severity")))
+
+
 # --- a small site -------------------------------------------------------------------
 
 _BASE = "http://qa.example"

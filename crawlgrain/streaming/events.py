@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from crawlgrain.schemas import EVENTS
 
@@ -51,6 +52,22 @@ def write_stream(stream: DataFrame, path: str, checkpoint: str) -> None:
     stream.writeStream.outputMode("append").format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
+def start(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Begins a stream into Parquet files, or goes on with one that was paused, from its checkpoint."""
+    return stream.writeStream.outputMode("append").format("parquet").option("path", path).option("checkpointLocation", checkpoint).start()
+
+
+def pause(query: StreamingQuery) -> None:
+    """Stops a stream once it has read what there is; start() goes on where it ended."""
+    query.processAllAvailable()
+    query.stop()
+
+
+def cancel(query: StreamingQuery) -> None:
+    """Stops a stream at once; what its checkpoint doesn't name is read again if it is started again."""
+    query.stop()
+
+
 def keep_recent(stream: DataFrame, path: str, checkpoint: str, n: int = 5000) -> None:
     """A table of the newest n events, replaced with every batch: what is read per batch is bounded by n."""
 

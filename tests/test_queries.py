@@ -15,7 +15,7 @@ DATA = Path("/root/testdata/sf0.001")
 NAMES = (
     "url_cases", "url_fold_http", "url_sitemap", "url_internal", "robots_cases", "robots_by_status", "robots_facts", "fetch_errors", "body_bytes", "request_headers", "html_cases", "html_link_kinds", "page_heads", "links_by_kind", "link_rel",
     "request_gaps", "gate_depth", "skip_reasons", "self_canonical", "delete_cascade", "sessions_newest_first", "session_lookup", "issues_unknown_severity", "frontier_enqueue", "frontier_spill", "frontier_resume", "frontier_counts", "frontier_start",
-    "schedule_daily", "schedule_weekly", "schedule_monthly", "stream_dedup", "stream_recent", "stream_rates", "stream_resumed", "issues_all", "csv_export_rows", "json_document", "link_graph_dedup", "mini_site_issues",
+    "schedule_daily", "schedule_weekly", "schedule_monthly", "stream_dedup", "stream_recent", "stream_rates", "stream_resumed", "stream_paused", "byte_sizes", "status_labels", "severity_labels", "issues_all", "csv_export_rows", "json_document", "link_graph_dedup", "mini_site_issues",
 )
 
 
