@@ -58,7 +58,7 @@ def test_index_finds_all_near_pairs():
     bucket = np.sort(np.array([r.randrange(3) for _ in f]))
     order = np.lexsort((S.gray_rank(f), bucket))
     bucket, f = bucket[order], f[order]
-    got = {(int(a), int(b)) for i, j in S.near_pairs(bucket, f, 4) for a, b in zip(i, j, strict=True)}
+    got = {(int(a), int(b)) for i, j in S.near_pairs(bucket, f[:, None], 4) for a, b in zip(i, j, strict=True)}
     want = {(a, b) for a in range(len(f)) for b in range(a + 1, len(f)) if bucket[a] == bucket[b] and int(f[a] ^ f[b]).bit_count() <= 4}
     assert got == want
 
