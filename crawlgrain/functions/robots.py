@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -15,45 +17,33 @@ _TYPE = pa.struct([
 ])
 
 
+_NUMBER = re.compile(r"[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?")
+# Kinds of lines, a letter each: U names an agent, R is a rule, B is blank.
+_KINDS = {"user-agent": "U", "allow": "R", "disallow": "R"}
+#: A group: rules that stand before any agent and the agent after them, or some agents; then rules up to a blank line.
+_GROUP = re.compile(r"(?:B*R)+B*UR*|U+R*")
+
+
 def parse_text(text: str | None) -> dict:
     """Groups, sitemaps and the smallest crawl delay of a file.
 
-    A blank or comment-only line ends a group that has agents; rules before any agent
-    go to the next group; unknown fields are skipped.
+    Lines become (name, value) pairs; groups are found in the sequence of their kinds.
+    Blank and comment-only lines end a group, fields that nobody knows don't.
     """
-    groups, sitemaps, delay = [], [], None
-    agents, rules = [], []
-
-    def finish() -> None:
-        if agents:
-            groups.append({"user_agents": list(agents), "rules": list(rules)})
-            agents.clear()
-            rules.clear()
-
-    for line in (text or "").splitlines():
-        line = line.partition("#")[0].strip()
-        if not line:
-            finish()
-            continue
-        name, colon, value = line.partition(":")
-        if not colon:
-            continue
-        name, value = name.strip().lower(), value.strip()
-        if name == "user-agent":
-            if agents and rules:
-                finish()
-            agents.append(value.lower())
-        elif name in ("allow", "disallow"):
-            rules.append({"allow": name == "allow", "path": value})
-        elif name == "sitemap":
-            sitemaps.append(value)
-        elif name == "crawl-delay":
-            try:
-                delay = float(value) if delay is None else min(delay, float(value))
-            except ValueError:
-                pass
-    finish()
-    return {"groups": groups, "sitemaps": sitemaps, "crawl_delay": delay}
+    lines = [line.partition("#")[0].strip() for line in (text or "").splitlines()]
+    cut = [line.partition(":") for line in lines]
+    pairs = [(name.strip().lower(), value.strip()) if colon else ("", "") for name, colon, value in cut if colon or not name]
+    told = [p for p in pairs if p[0] in _KINDS or p == ("", "")]
+    kinds = "".join(_KINDS.get(name, "B") for name, _ in told)
+
+    def group(fields: list[tuple[str, str]]) -> dict:
+        return {"user_agents": [v.lower() for n, v in fields if n == "user-agent"], "rules": [{"allow": n == "allow", "path": v} for n, v in fields if _KINDS.get(n) == "R"]}
+
+    return {
+        "groups": [group(told[m.start() : m.end()]) for m in _GROUP.finditer(kinds)],
+        "sitemaps": [v for n, v in pairs if n == "sitemap"],
+        "crawl_delay": min((float(v) for n, v in pairs if n == "crawl-delay" and _NUMBER.fullmatch(v)), default=None),
+    }
 
 
 def _parse(body: pa.Array) -> pa.Array:
