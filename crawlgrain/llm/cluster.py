@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -13,6 +12,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from crawlgrain.cuts import durable  # noqa: F401  (operators take it from here)
+from crawlgrain.cuts import shared_folder as checkpoint_dir
+
 #: A side of a join is broadcast up to so many bytes, by a count of its rows.
 BROADCAST_BYTES = 32 << 20
 #: Bits of the filter that stands in for a larger side: 32 MB at most.
@@ -20,17 +22,6 @@ FILTER_BITS = 28
 _PAGE_BITS = 15  # of one row of Spark's bitmaps
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of the session; where it names none, a folder of this machine, in local mode alone (tests)."""
-    sc = spark.sparkContext
-    if not sc.getCheckpointDir():
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        if not shared and not sc.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="crawlgrain-"))
-    return spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-
-
 def removed(spark: SparkSession, path: str) -> None:
     """Deletes a folder of intermediate data."""
     jvm = spark.sparkContext._jvm
@@ -38,12 +29,6 @@ def removed(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """The rows, written to the shared folder: lost executors don't lose them, and they aren't computed twice."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def written(df: DataFrame) -> DataFrame:
     """The rows, as a Parquet table in the shared folder."""
     path = f"{checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
