@@ -204,3 +204,12 @@ def test_adjacent_values(spark):
     for (a, b, want), text, found in zip(pairs, out[len(alone) :], kinds[len(alone) :], strict=False):
         assert found == want and text == f"{to[a]} {to.get(b, b)}", (a, b, text)
     assert kinds[-2:] == [["phone"]] * 2
+
+
+def test_texts_that_hold_the_mark(spark):
+    values = ["x \x01 4111 1111 1111 1111 \x01\x01 2020-02-29", "\x01", "a\x01b 2020-02-29\x01", "2020-02-29", "2020-02-29 2020-02-29", " 2020-02-29 "]
+    out, kinds = run(spark, values)
+    slow = Slow("k")
+    for v, text, k in zip(values, out, kinds, strict=True):
+        assert text == v.replace("4111 1111 1111 1111", slow.card("4111 1111 1111 1111")).replace("2020-02-29", slow.date("2020-02-29"))
+        assert len(k) == v.count("4111 1111") + v.count("2020-02-29")
