@@ -85,14 +85,19 @@ def whole_groups(batches: Iterator[pa.RecordBatch], column: str, rows: int) -> I
 Task = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
 
+def give_back() -> None:
+    """Gives what a Python worker, which lives on, has freed back to the machine."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def tidied(task: Task) -> Task:
-    """The task; at its end the worker, which lives on, gives what it has freed back to the machine."""
+    """The task, which gives back what it has freed at its end."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from task(batches)
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
-            trim(0)
+        give_back()
 
     return run

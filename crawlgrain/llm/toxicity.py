@@ -173,21 +173,21 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, grade_column:
     few = [known.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for k in (0, 1)]
     picked = F.broadcast(few[0].unionByName(few[1]))  # at most 2 * sample rows of three numbers
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(picked, "doc_id").select("doc_id", "text", "toxic", "grade")
-    got = durable(texts.mapInArrow(tidied(_sample_task), _SAMPLED).select("*", F.xxhash64("feats").alias("key")))
+    got = durable(texts.mapInArrow(tidied(_sample_task), _SAMPLED).withColumn("row", F.monotonically_increasing_id()))  # rows keep their numbers once cut off
     none = OrdinalModel(np.zeros(1 << HASH_BITS), np.array([50.0]))
-    marks = got.select("doc_id", "key", "toxic", "signs").toArrow().sort_by([("doc_id", "ascending"), ("key", "ascending")])
+    marks = got.select("doc_id", "row", "toxic", "signs").toArrow().sort_by([("doc_id", "ascending"), ("row", "ascending")])
     marks = marks.take(pa.array(_copies_once(marks.column("toxic").to_numpy(), marks.column("signs").to_pylist())))
     toxic = marks.column("toxic").to_numpy()
     n_toxic, n_clean = int((toxic == 1).sum()), int((toxic == 0).sum())
     if not n_toxic or not n_clean:
         return none
-    place = {x: k for k, x in reversed(list(enumerate(zip(marks.column("doc_id").to_pylist(), marks.column("key").to_pylist(), strict=True))))}
+    place = {x: k for k, x in enumerate(marks.column("row").to_pylist())}
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array([x in place for x in zip(batch.column("doc_id").to_pylist(), batch.column("key").to_pylist(), strict=True)], pa.bool_()))
+            yield batch.filter(pa.array([x in place for x in batch.column("row").to_pylist()], pa.bool_()))
 
-    rest = got.mapInArrow(kept, _SAMPLED + ", key long").dropDuplicates(["doc_id", "key"])
+    rest = got.mapInArrow(kept, _SAMPLED + ", row long")
     counts = rest.mapInArrow(_feature_counts, "feat long, n1 long, n0 long").groupBy("feat").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
     counts = counts.where((F.col("n1") + 0.5) / (n_toxic + 1) >= 8 * (F.col("n0") + 0.5) / (n_clean + 1)).toArrow()  # part of what _telling() asks
     inside = np.zeros((2, 1 << HASH_BITS), dtype=np.int64)
@@ -202,10 +202,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, grade_column:
             cols, n = lists.flatten().to_numpy(), batch.column("counts").flatten().to_numpy()
             hit = chosen[cols]
             at = pa.array(row[hit])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(at), batch.column("key").take(at), batch.column("grade").take(at), pa.array(cols[hit]), pa.array(n[hit])], ["doc_id", "key", "grade", "feat", "n"])
+            yield pa.RecordBatch.from_arrays([batch.column("row").take(at), pa.array(cols[hit]), pa.array(n[hit])], ["row", "feat", "n"])
 
-    found = rest.mapInArrow(told, "doc_id long, key long, grade int, feat int, n int").toArrow()
-    rows = np.array([place[x] for x in zip(found.column("doc_id").to_pylist(), found.column("key").to_pylist(), strict=True)], dtype=np.int64)
+    found = rest.mapInArrow(told, "row long, feat int, n int").toArrow()
+    rows = np.array([place[x] for x in found.column("row").to_pylist()], dtype=np.int64)
     values = found.column("n").to_numpy()
     ids, cols = np.unique(found.column("feat").to_numpy(), return_inverse=True)
     if not len(ids):

@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U64 = np.uint64
-_CHUNK = 1 << 20
+_CHUNK = 1 << 18
 
 #: Separators of the words `[^\x20\x09-\x0D]+`.
 WHITE = np.zeros(256, dtype=bool)
@@ -50,7 +50,7 @@ class Poly:
 
     def powers(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self._pow) < n:
-            size = max(n, _CHUNK)
+            size = -(-n // _CHUNK) * _CHUNK
             for name, b in (("_pow", self.base), ("_inv", self.inverse)):
                 steps = np.full(size, b, dtype=U64)
                 steps[0] = 1
