@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from crawlgrain.functions.urls import bound
+
 ROUNDS = 8
 
 # The formats, in the order in which they are tried at a place.
@@ -70,11 +72,16 @@ def _power(n: Column) -> Column:
 
 def permute_digits(digits: Column, key: Column, tweak: str) -> Column:
     """A string of 2 to 36 digits, permuted among those of its length."""
-    n = F.length(digits)
-    a = F.floor(n / 2).cast("int")
-    b = n - a
-    out = feistel(F.substring(digits, F.lit(1), a), F.substring(digits, a + 1, b), _power(a), _power(b), key, F.concat(F.lit(tweak), n.cast("string")))
-    return F.concat(F.lpad(out["l"].cast("string"), a, "0"), F.lpad(out["r"].cast("string"), b, "0"))
+
+    def halves(d: Column) -> Column:
+        n = F.length(d)
+        a = F.floor(n / 2).cast("int")
+        b = n - a
+        sizes = F.struct(_power(a).alias("a"), _power(b).alias("b"))
+        out = bound(sizes, lambda p: feistel(F.substring(d, F.lit(1), a), F.substring(d, a + 1, b), p["a"], p["b"], key, F.concat(F.lit(tweak), n.cast("string"))))
+        return bound(out, lambda o: F.concat(F.lpad(o["l"].cast("string"), a, "0"), F.lpad(o["r"].cast("string"), b, "0")))
+
+    return bound(digits, halves)
 
 
 def _digits(m: Column) -> Column:
@@ -85,11 +92,11 @@ def _fill(m: Column, digits: Column) -> Column:
     """m with its digits, from left to right, replaced by those of a string."""
     start = F.struct(F.lit(1).alias("at"), F.lit("").alias("out"))
 
-    def step(acc: Column, c: Column) -> Column:
+    def step(acc: Column, c: Column, d: Column) -> Column:
         digit = c.between("0", "9")
-        return F.struct((acc["at"] + F.when(digit, 1).otherwise(0)).alias("at"), F.concat(acc["out"], F.when(digit, F.substring(digits, acc["at"], F.lit(1))).otherwise(c)).alias("out"))
+        return F.struct((acc["at"] + F.when(digit, 1).otherwise(0)).alias("at"), F.concat(acc["out"], F.when(digit, F.substring(d, acc["at"], F.lit(1))).otherwise(c)).alias("out"))
 
-    return F.aggregate(F.filter(F.split(m, ""), lambda c: c != ""), start, step)["out"]
+    return bound(digits, lambda d: F.aggregate(F.filter(F.split(m, ""), lambda c: c != ""), start, lambda acc, c: step(acc, c, d))["out"])
 
 
 def luhn_sum(digits: Column, shift: int) -> Column:
@@ -100,14 +107,20 @@ def luhn_sum(digits: Column, shift: int) -> Column:
 
 
 def _card(m: Column, key: Column) -> Column:
-    d = _digits(m)
-    body = permute_digits(F.substring(d, F.lit(1), F.length(d) - 1), key, "card")
-    return F.when(F.length(d).between(13, 19) & (luhn_sum(d, 0) % 10 == 0) & (F.regexp_replace(d, "0", "") != ""), _fill(m, F.concat(body, F.pmod(-luhn_sum(body, 1), F.lit(10)).cast("string"))))
+    def changed(d: Column) -> Column:
+        body = permute_digits(F.substring(d, F.lit(1), F.length(d) - 1), key, "card")
+        whole = bound(body, lambda b: _fill(m, F.concat(b, F.pmod(-luhn_sum(b, 1), F.lit(10)).cast("string"))))
+        return F.when(F.length(d).between(13, 19) & (luhn_sum(d, 0) % 10 == 0) & (F.regexp_replace(d, "0", "") != ""), whole)
+
+    return bound(_digits(m), changed)
 
 
 def _phone(m: Column, key: Column) -> Column:
-    d, code = _digits(m), F.length(F.regexp_extract(m, r"^\+(\d{1,3})(?=[ .(-])", 1))
-    return F.when(F.length(d).between(8, 15), _fill(m, F.concat(F.substring(d, F.lit(1), code), permute_digits(F.substring(d, code + 1, F.length(d) - code), key, "phone"))))
+    def changed(x: Column) -> Column:
+        d, code = x["d"], x["code"]
+        return F.when(F.length(d).between(8, 15), _fill(m, F.concat(F.substring(d, F.lit(1), code), permute_digits(F.substring(d, code + 1, F.length(d) - code), key, "phone"))))
+
+    return bound(F.struct(_digits(m).alias("d"), F.length(F.regexp_extract(m, r"^\+(\d{1,3})(?=[ .(-])", 1)).alias("code")), changed)
 
 
 def _ssn(m: Column, key: Column) -> Column:
@@ -115,36 +128,48 @@ def _ssn(m: Column, key: Column) -> Column:
     fine = area.between(1, 899) & (area != 666) & (group > 0) & (serial > 0)
     place = (area - F.when(area > 666, 2).otherwise(1)) * _GROUPS + group - 1
     out = feistel(place, serial - 1, F.lit(_AREAS * _GROUPS), F.lit(_SERIALS), key, F.lit("ssn"))
-    a = F.floor(out["l"] / _GROUPS).cast("int") + 1
-    return F.when(fine, F.concat(F.lpad((a + F.when(a >= 666, 1).otherwise(0)).cast("string"), 3, "0"), F.lit("-"), F.lpad((out["l"] % _GROUPS + 1).cast("string"), 2, "0"), F.lit("-"), F.lpad((out["r"] + 1).cast("string"), 4, "0")))
+
+    def written(o: Column) -> Column:
+        a = F.floor(o["l"] / _GROUPS).cast("int") + 1
+        return F.concat(F.lpad((a + F.when(a >= 666, 1).otherwise(0)).cast("string"), 3, "0"), F.lit("-"), F.lpad((o["l"] % _GROUPS + 1).cast("string"), 2, "0"), F.lit("-"), F.lpad((o["r"] + 1).cast("string"), 4, "0"))
+
+    return F.when(fine, bound(out, written))
 
 
 def _ip(m: Column, key: Column) -> Column:
-    o = F.transform(F.split(m, r"\."), lambda x: x.cast("int"))
-    out = feistel(F.get(o, F.lit(0)) * 256 + F.get(o, F.lit(1)), F.get(o, F.lit(2)) * 256 + F.get(o, F.lit(3)), F.lit(65536), F.lit(65536), key, F.lit("ip"))
-    halves = F.flatten(F.transform(F.array(out["l"], out["r"]), lambda x: F.array(F.floor(x / 256).cast("string"), (x % 256).cast("string"))))
-    return F.array_join(halves, ".")
+    out = bound(F.transform(F.split(m, r"\."), lambda x: x.cast("int")), lambda o: feistel(F.get(o, F.lit(0)) * 256 + F.get(o, F.lit(1)), F.get(o, F.lit(2)) * 256 + F.get(o, F.lit(3)), F.lit(65536), F.lit(65536), key, F.lit("ip")))
+    halves = lambda o: F.flatten(F.transform(F.array(o["l"], o["r"]), lambda x: F.array(F.floor(x / 256).cast("string"), (x % 256).cast("string"))))
+    return F.array_join(bound(out, halves), ".")
 
 
 def _date(m: Column, key: Column) -> Column:
-    p = F.transform(F.split(m, r"[./-]"), lambda x: x.cast("int"))
-    a, b, c = (F.get(p, F.lit(k)) for k in range(3))
     iso, dots = m.contains("-"), m.contains(".")
-    # 12/31/1999 by month first; a first number over 12 or a dot means day first
-    day_first = dots | (a > 12)
-    year, month, day = F.when(iso, a).otherwise(c), F.when(iso | day_first, b).otherwise(a), F.when(iso, c).when(day_first, a).otherwise(b)
-    date = F.to_date(F.concat_ws("-", F.lpad(year.cast("string"), 4, "0"), F.lpad(month.cast("string"), 2, "0"), F.lpad(day.cast("string"), 2, "0")))
-    date = F.when(year.between(1700, 2099) & month.between(1, 12) & day.between(1, F.get(F.array(*map(F.lit, (31, 28, 31, 30, 31, 30, 31, 31, 30, 31, 30, 31))), month - 1) + F.when((month == 2) & (year % 4 == 0) & ((year % 100 != 0) | (year % 400 == 0)), 1).otherwise(0)), date)
     first = F.lit(_FIRST_DAY).cast("date")
-    n = F.datediff(date, first)
-    out = feistel(F.floor(n / _DAYS[1]), n % _DAYS[1], F.lit(_DAYS[0]), F.lit(_DAYS[1]), key, F.lit("date"))
-    new = F.date_add(first, (out["l"] * _DAYS[1] + out["r"]).cast("int"))
-    padded = F.length(m) == 10
-    sep = F.when(dots, F.lit(".")).otherwise(F.lit("/"))
-    number = lambda part: F.when(padded, F.lpad(part.cast("string"), 2, "0")).otherwise(part.cast("string"))
-    d, mo = number(F.dayofmonth(new)), number(F.month(new))
-    other = F.concat(F.when(day_first, d).otherwise(mo), sep, F.when(day_first, mo).otherwise(d), sep, F.year(new).cast("string"))
-    return F.when(date.isNotNull(), F.when(iso, F.date_format(new, "yyyy-MM-dd")).otherwise(other))
+
+    def read(p: Column) -> Column:
+        """The date, and whether its day stands first: 12/31/1999 by month first; a first number over 12 or a dot means day first."""
+        a, b, c = (F.get(p, F.lit(k)) for k in range(3))
+        day_first = dots | (a > 12)
+        return F.struct(F.when(iso, a).otherwise(c).alias("year"), F.when(iso | day_first, b).otherwise(a).alias("month"), F.when(iso, c).when(day_first, a).otherwise(b).alias("day"), day_first.alias("day_first"))
+
+    def written(x: Column) -> Column:
+        year, month, day = x["year"], x["month"], x["day"]
+        leap = (month == 2) & (year % 4 == 0) & ((year % 100 != 0) | (year % 400 == 0))
+        days = F.get(F.array(*map(F.lit, (31, 28, 31, 30, 31, 30, 31, 31, 30, 31, 30, 31))), month - 1) + F.when(leap, 1).otherwise(0)
+        fine = year.between(1700, 2099) & month.between(1, 12) & day.between(1, days)
+        date = F.to_date(F.concat_ws("-", F.lpad(year.cast("string"), 4, "0"), F.lpad(month.cast("string"), 2, "0"), F.lpad(day.cast("string"), 2, "0")))
+        out = bound(F.datediff(date, first), lambda n: feistel(F.floor(n / _DAYS[1]), n % _DAYS[1], F.lit(_DAYS[0]), F.lit(_DAYS[1]), key, F.lit("date")))
+        new = bound(out, lambda o: F.date_add(first, (o["l"] * _DAYS[1] + o["r"]).cast("int")))
+        return F.when(fine, bound(new, lambda d: spelled(d, x["day_first"])))
+
+    def spelled(new: Column, day_first: Column) -> Column:
+        sep = F.when(dots, F.lit(".")).otherwise(F.lit("/"))
+        number = lambda part: F.when(F.length(m) == 10, F.lpad(part.cast("string"), 2, "0")).otherwise(part.cast("string"))
+        d, mo = number(F.dayofmonth(new)), number(F.month(new))
+        other = F.concat(F.when(day_first, d).otherwise(mo), sep, F.when(day_first, mo).otherwise(d), sep, F.year(new).cast("string"))
+        return F.when(iso, F.date_format(new, "yyyy-MM-dd")).otherwise(other)
+
+    return bound(bound(F.transform(F.split(m, r"[./-]"), lambda x: x.cast("int")), read), written)
 
 
 def mod97(text: Column) -> Column:
@@ -154,12 +179,14 @@ def mod97(text: Column) -> Column:
 
 
 def _iban(m: Column, key: Column) -> Column:
-    x = F.regexp_replace(m, " ", "")
-    country, bban = F.substring(x, 1, 2), F.substring(x, F.lit(5), F.length(x) - 4)
-    fine = F.length(x).between(15, 34) & (mod97(F.concat(bban, country, F.substring(x, 3, 2))) == 1) & (F.length(_digits(bban)) >= 2)
-    body = _fill(bban, permute_digits(_digits(bban), key, "iban"))
-    check = F.lpad((F.lit(98) - mod97(F.concat(body, country, F.lit("00")))).cast("string"), 2, "0")
-    return F.when(fine, _fill(m, F.concat(check, _digits(body))))
+    def changed(x: Column) -> Column:
+        country, bban = F.substring(x, 1, 2), F.substring(x, F.lit(5), F.length(x) - 4)
+        fine = F.length(x).between(15, 34) & (mod97(F.concat(bban, country, F.substring(x, 3, 2))) == 1) & (F.length(_digits(bban)) >= 2)
+        body = _fill(bban, permute_digits(_digits(bban), key, "iban"))
+        check = lambda b: F.lpad((F.lit(98) - mod97(F.concat(b, country, F.lit("00")))).cast("string"), 2, "0")
+        return F.when(fine, bound(body, lambda b: _fill(m, F.concat(check(b), _digits(b)))))
+
+    return bound(F.regexp_replace(m, " ", ""), changed)
 
 
 def _email(m: Column, key: Column) -> Column:
@@ -168,11 +195,12 @@ def _email(m: Column, key: Column) -> Column:
     stream = F.concat(*[F.sha2(F.concat_ws("|", key, F.lit(f"email{k}"), F.lower(m)), 256) for k in range(2)])
     chars = F.filter(F.split(name, ""), lambda c: c != "")
 
-    def one(c: Column, i: Column) -> Column:
-        x = F.conv(F.substring(stream, (i % 60) * 2 + 1, F.lit(2)), 16, 10).cast("int")
+    def one(c: Column, x: Column) -> Column:
         return F.when(c.between("0", "9"), F.char(48 + x % 10)).when(c.between("a", "z"), F.char(97 + x % 26)).when(c.between("A", "Z"), F.char(65 + x % 26)).otherwise(c)
 
-    return F.concat(F.array_join(F.transform(chars, one), ""), F.lit("@"), host)
+    drawn = lambda st, i: F.conv(F.substring(st, (i % 60) * 2 + 1, F.lit(2)), 16, 10).cast("int")
+    new = bound(stream, lambda st: F.transform(chars, lambda c, i: bound(drawn(st, i), lambda x: one(c, x))))
+    return F.concat(F.array_join(new, ""), F.lit("@"), host)
 
 
 def kind(m: Column) -> Column:
@@ -183,12 +211,15 @@ def kind(m: Column) -> Column:
 
 def pseudonym(m: Column, key: Column) -> Column:
     """struct(kind, value): a candidate's format and its pseudonym; value is null if it doesn't hold good."""
-    k = kind(m)
     by = {"email": _email, "iban": _iban, "date": _date, "ip": _ip, "ssn": _ssn, "phone": _phone, "card": _card}
-    value = F.lit(None).cast("string")
-    for name, f in by.items():
-        value = F.when(k == name, f(m, key)).otherwise(value)
-    return F.struct(k.alias("kind"), value.alias("value"))
+
+    def changed(k: Column) -> Column:
+        value = F.lit(None).cast("string")
+        for name, f in by.items():
+            value = F.when(k == name, f(m, key)).otherwise(value)
+        return F.struct(k.alias("kind"), value.alias("value"))
+
+    return bound(kind(m), changed)
 
 
 def pseudonymise(docs: DataFrame, key: str, text_column: str = "text", found_column: str | None = None) -> DataFrame:
