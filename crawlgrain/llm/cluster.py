@@ -31,9 +31,14 @@ def removed(spark: SparkSession, path: str) -> None:
 
 def written(df: DataFrame) -> DataFrame:
     """The rows, as a Parquet table in the shared folder."""
+    return written_to(df)[0]
+
+
+def written_to(df: DataFrame) -> tuple[DataFrame, str]:
+    """written(), and the table's path, for removed() once nothing reads it any more."""
     path = f"{checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.parquet(path), path
 
 
 def small(df: DataFrame, row_bytes: int, limit: int | None = None) -> bool:
