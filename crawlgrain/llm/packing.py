@@ -31,8 +31,9 @@ from crawlgrain.llm import words as W
 from crawlgrain.llm.cluster import tidied
 
 SCHEMA = "doc_id long, start long, length int, ids binary, doc_tokens long, sequence_id long, offset int, sequence_length int, step_group long"
-_WORDS_KEPT = 300_000
-_BYTES_AT_ONCE = 3 << 20
+_WORDS_KEPT = 250_000
+_BYTES_AT_ONCE = 2 << 20
+_ENCODED_AT_ONCE = 8192
 _MARKS = b".,;:!?%$&*#)"
 
 
@@ -131,13 +132,15 @@ class WordTokens:
                         known[x] = older[x]
                     else:
                         new[x] = None
-        encoded = self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
-        lists = [e.ids for e in encoded]
-        flat = np.fromiter(chain.from_iterable(lists), dtype="<u4").tobytes()
-        at = 0
-        for w, ids in zip(new, lists, strict=True):
-            known[w] = flat[at : at + 4 * len(ids)]
-            at += 4 * len(ids)
+        words_new = list(new)
+        for lo in range(0, len(words_new), _ENCODED_AT_ONCE):  # an encoding takes far more memory than its ids
+            some = words_new[lo : lo + _ENCODED_AT_ONCE]
+            lists = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)]
+            flat = np.fromiter(chain.from_iterable(lists), dtype="<u4").tobytes()
+            at = 0
+            for w, ids in zip(some, lists, strict=True):
+                known[w] = flat[at : at + 4 * len(ids)]
+                at += 4 * len(ids)
         for w, (stem, marks) in parts.items():
             known[w] = known[stem] + known[marks]
 
