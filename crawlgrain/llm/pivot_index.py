@@ -105,18 +105,22 @@ def _compare(key: int, x: np.ndarray, lists: np.ndarray, left: np.ndarray, right
     """Linked pairs of rows left x right that belong to this list: retrieved by their permutations, verified by cosine."""
     out = []
     first, enough = min(left[0], right[0]), min(p.shared, lists.shape[1])
-    pivots = _incidence(lists[first : max(left[-1], right[-1]) + 1])
-    listed = np.sort(lists[:, : p.listed], axis=1)
+    pivots = None  # most lists are short and hold no pair that would be verified: these are passed over at once
     for at in range(0, len(left), 512):
         some = left[at : at + 512]
-        retrieved = pivots[some - first] @ pivots[right - first].T >= enough
-        i, j = np.nonzero(retrieved & (x[some] @ x[right].T >= p.threshold))
-        i, j = some[i], right[j]
+        near = x[some] @ x[right].T >= p.threshold
         if same:
-            i, j = i[i < j], j[i < j]
+            near &= some[:, None] < right[None, :]
+        if not near.any():
+            continue
+        if pivots is None:
+            pivots = _incidence(lists[first : max(left[-1], right[-1]) + 1])
+        i, j = np.nonzero(near & (pivots[some - first] @ pivots[right - first].T >= enough))
+        i, j = some[i], right[j]
         for a in range(0, len(i), 100_000):
             b, c = i[a : a + 100_000], j[a : a + 100_000]
-            own = (_two(listed[b], listed[c], p.pivots) == key) & (shared_near(lists[b], lists[c], p.places) >= enough)
+            listed = (np.sort(lists[rows][:, : p.listed], axis=1) for rows in (b, c))
+            own = (_two(*listed, p.pivots) == key) & (shared_near(lists[b], lists[c], p.places) >= enough)
             out.append((b[own], c[own]))
     return (np.concatenate([a for a, _ in out]), np.concatenate([b for _, b in out])) if out else (left[:0], left[:0])
 
@@ -181,7 +185,7 @@ def _links(vectors: DataFrame, d: int, p: PivotIndex) -> DataFrame:
                 code = int(work[a])
                 key, same, rows = code >> 40, (code >> 20) & 0xFFFFF == code & 0xFFFFF, np.arange(a, b)
                 left, right = (rows, rows) if same else (rows[low[a:b]], rows[~low[a:b]])
-                if not len(left) or not len(right):
+                if not len(left) or not len(right) or same and len(rows) < 2:
                     continue
                 if k > 1:
                     i, j = _compare(key, x, lists, left, right, same, p)
