@@ -31,7 +31,7 @@ from crawlgrain.llm import words as W
 from crawlgrain.llm.cluster import tidied
 
 SCHEMA = "doc_id long, start long, length int, ids binary, doc_tokens long, sequence_id long, offset int, sequence_length int, step_group long"
-_WORDS_KEPT = 250_000
+_WORDS_KEPT = 200_000
 _BYTES_AT_ONCE = 2 << 20
 _ENCODED_AT_ONCE = 8192
 _MARKS = b".,;:!?%$&*#)"
@@ -81,8 +81,9 @@ class WordTokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        with open(path, encoding="utf-8") as f:
-            self.by_word = _parts_words(json.load(f))
+        # the two parts' own settings: the whole file, read as JSON, would take some 100 MB
+        state = lambda part: json.loads(part.__getstate__()) if part is not None else None
+        self.by_word = _parts_words({"normalizer": state(self.tokenizer.normalizer), "pre_tokenizer": state(self.tokenizer.pre_tokenizer)})
         self.known: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
 
