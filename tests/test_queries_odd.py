@@ -53,3 +53,7 @@ def test_references_without_semicolon_as_text_or_as_browsers_do():
 
 def test_content_hash(spark, odd):
     equal(spark, odd, "content_hash")
+
+
+def test_csv_export_lines(spark, odd):
+    equal(spark, odd, "csv_export_lines")
