@@ -57,3 +57,7 @@ def test_content_hash(spark, odd):
 
 def test_csv_export_lines(spark, odd):
     equal(spark, odd, "csv_export_lines")
+
+
+def test_csv_file(spark, odd):
+    equal(spark, odd, "csv_file")
