@@ -8,6 +8,7 @@ import duckdb
 import pytest
 
 from crawlgrain.functions.html import read_page
+from crawlgrain.operators import frontier
 from crawlgrain.plans import cases  # noqa: F401
 from crawlgrain.plans.queries import ORACLE_SQL, QUERIES
 from tests.test_queries import plain
@@ -61,3 +62,12 @@ def test_csv_export_lines(spark, odd):
 
 def test_csv_file(spark, odd):
     equal(spark, odd, "csv_file")
+
+
+def test_frontier_start(spark, odd):
+    equal(spark, odd, "frontier_start")
+
+
+def test_a_url_of_several_rows_is_one_start(spark):
+    rows = spark.createDataFrame([("https://a.example/x",), ("https://a.example/x/",)], "url string")
+    assert [(x.normalized_url, x.source) for x in frontier.starting(rows, rows.withColumnRenamed("url", "loc")).collect()] == [("https://a.example/x", "seed")]
