@@ -8,7 +8,7 @@ import duckdb
 import pytest
 
 from crawlgrain.functions.html import read_page
-from crawlgrain.operators import frontier
+from crawlgrain.operators import frontier, links
 from crawlgrain.plans import cases  # noqa: F401
 from crawlgrain.plans.queries import ORACLE_SQL, QUERIES
 from tests.test_queries import plain
@@ -71,3 +71,13 @@ def test_frontier_start(spark, odd):
 def test_a_url_of_several_rows_is_one_start(spark):
     rows = spark.createDataFrame([("https://a.example/x",), ("https://a.example/x/",)], "url string")
     assert [(x.normalized_url, x.source) for x in frontier.starting(rows, rows.withColumnRenamed("url", "loc")).collect()] == [("https://a.example/x", "seed")]
+
+
+def test_sitemap_discrepancy(spark, odd):
+    equal(spark, odd, "sitemap_discrepancy")
+
+
+def test_what_both_know_is_no_discrepancy(spark):
+    crawled = spark.createDataFrame([("https://a.example/x",), ("https://a.example/x",), ("https://a.example/y",)], "normalized_url string")
+    got = links.sitemap_discrepancy(crawled, spark.createDataFrame([("https://a.example/x/",)], "loc string"))
+    assert [(x.url, x.status) for x in got.collect()] == [("https://a.example/y", "only_in_crawl")]
