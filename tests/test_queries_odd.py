@@ -81,3 +81,7 @@ def test_what_both_know_is_no_discrepancy(spark):
     crawled = spark.createDataFrame([("https://a.example/x",), ("https://a.example/x",), ("https://a.example/y",)], "normalized_url string")
     got = links.sitemap_discrepancy(crawled, spark.createDataFrame([("https://a.example/x/",)], "loc string"))
     assert [(x.url, x.status) for x in got.collect()] == [("https://a.example/y", "only_in_crawl")]
+
+
+def test_csv_export_rows(spark, odd):
+    equal(spark, odd, "csv_export_rows")
