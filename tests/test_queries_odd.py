@@ -85,3 +85,7 @@ def test_what_both_know_is_no_discrepancy(spark):
 
 def test_csv_export_rows(spark, odd):
     equal(spark, odd, "csv_export_rows")
+
+
+def test_extract_title_h1(spark, odd):
+    equal(spark, odd, "extract_title_h1")
