@@ -89,3 +89,7 @@ def test_csv_export_rows(spark, odd):
 
 def test_extract_title_h1(spark, odd):
     equal(spark, odd, "extract_title_h1")
+
+
+def test_frontier_enqueue(spark, odd):
+    equal(spark, odd, "frontier_enqueue")
