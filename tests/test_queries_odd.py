@@ -93,3 +93,7 @@ def test_extract_title_h1(spark, odd):
 
 def test_frontier_enqueue(spark, odd):
     equal(spark, odd, "frontier_enqueue")
+
+
+def test_urls_search(spark, odd):
+    equal(spark, odd, "urls_search")
