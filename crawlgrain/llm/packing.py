@@ -18,6 +18,8 @@ from __future__ import annotations
 
 import gc
 import json
+import re
+import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import chain
@@ -31,10 +33,13 @@ from crawlgrain.llm import words as W
 from crawlgrain.llm.cluster import tidied
 
 SCHEMA = "doc_id long, start long, length int, ids binary, doc_tokens long, sequence_id long, offset int, sequence_length int, step_group long"
-_WORDS_KEPT = 200_000
+_WORDS_KEPT = 1_000_000
 _BYTES_AT_ONCE = 2 << 20
 _ENCODED_AT_ONCE = 8192
-_MARKS = b".,;:!?%$&*#)"
+_MARKS = np.isin(np.arange(256), list(b".,;:!?%$&*#)"))
+#: Words that normalising only lower-cases and that stay in one piece; and what a byte-level tokenizer writes for them.
+_LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
+_AS_BYTES = {c: "".join(chr(b) if 0xA1 <= b and b != 0xAD else chr(0x100 + (b - 0x7F + 33 if b != 0xAD else 67)) for b in chr(c).encode()) for c in range(0xC0, 0x100)}
 
 
 @dataclass(frozen=True)
@@ -64,14 +69,60 @@ def _parts_words(settings: dict) -> bool:
     return apart and {x["type"] for x in normal} == {"NFC", "Replace", "Lowercase"} and {x["type"] for x in cut} <= {"Split", "ByteLevel"}
 
 
+def _stems_and_marks(w: W.Words) -> W.Words:
+    """The words, with the marks after a word's last letter as words of their own."""
+    mark, ends = _MARKS[w.buf], w.ends
+    some = np.flatnonzero(mark[ends - 1])
+    runs = np.flatnonzero(mark & ~np.concatenate([[False], mark[:-1]]))
+    stem = runs[np.searchsorted(runs, ends[some] - 1, "right") - 1]
+    some, stem = some[stem > w.starts[some]], stem[stem > w.starts[some]]
+    last, before = w.buf[stem - 1], w.buf[np.maximum(stem - 2, w.starts[some])]
+    letter = (97 <= last) & (last <= 122) | (before == 0xC3) & (last >= 0x80) & (last != 0x97) & (last != 0xB7)
+    some, stem = some[letter], stem[letter]
+    ends = ends.copy()
+    ends[some] = stem
+    return W.Words(w.buf, np.insert(w.starts, some + 1, stem), np.insert(ends, some + 1, w.ends[some]), np.insert(w.doc, some + 1, w.doc[some]), w.n_docs)
+
+
+class Known:
+    """Ids by 64-bit hash: sorted hashes, and where in `ids` each one's stand."""
+
+    def __init__(self):
+        self.hash, self.at, self.size = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int32)
+        self.ids = np.zeros(0, dtype="<u4")
+
+    def holds(self, h: np.ndarray) -> np.ndarray:
+        if not len(self.hash):
+            return np.zeros(len(h), dtype=bool)
+        return self.hash[np.minimum(np.searchsorted(self.hash, h), len(self.hash) - 1)] == h
+
+    def places(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(where in ids, how many) of hashes that are known."""
+        k = np.searchsorted(self.hash, h)
+        return self.at[k], self.size[k].astype(np.int64)
+
+    def of(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(how many, the ids in a row) of hashes that are known."""
+        at, size = self.places(h)
+        return size, self.ids[np.repeat(at - (np.cumsum(size) - size), size) + np.arange(size.sum())]
+
+    def add(self, h: np.ndarray, size: np.ndarray, ids: np.ndarray) -> None:
+        """Sorted hashes, none known yet."""
+        k = np.searchsorted(self.hash, h)
+        self.at = np.insert(self.at, k, len(self.ids) + np.cumsum(size) - size)
+        self.size = np.insert(self.size, k, size)
+        self.hash = np.insert(self.hash, k, h)
+        self.ids = np.concatenate([self.ids, ids])
+
+
 class WordTokens:
     """Ids of texts as little-endian unsigned 32-bit integers.
 
     A tokenizer that lower-cases, never joins what white space parts, and parts letters
     from punctuation has a text's ids as those of its words in a row, and a word's ids as
-    those of its stem and of the punctuation after it; so each distinct stem is encoded
-    once for as long as it is kept: two generations of at most _WORDS_KEPT words. By
-    other tokenizers whole texts are encoded.
+    those of its stem and of the punctuation after it; so each distinct one of these is
+    encoded once for as long as it is kept, by its 64-bit hash: two generations of at
+    most about _WORDS_KEPT. By other tokenizers whole texts are encoded.
     """
 
     def __init__(self, path: str):
@@ -84,8 +135,15 @@ class WordTokens:
         # the two parts' own settings: the whole file, read as JSON, would take some 100 MB
         state = lambda part: json.loads(part.__getstate__()) if part is not None else None
         self.by_word = _parts_words({"normalizer": state(self.tokenizer.normalizer), "pre_tokenizer": state(self.tokenizer.pre_tokenizer)})
-        self.known: dict[bytes, bytes] = {}
-        self.older: dict[bytes, bytes] = {}
+        gap = self.tokenizer.encode("0", add_special_tokens=False).ids
+        self.gap = gap[0] if len(gap) == 1 else None
+        self.model = self.tokenizer.model
+        # what _encoded() takes for granted of the tokenizer, tried on every letter
+        letters = [chr(c) for c in range(0x100) if _LETTERS.fullmatch(chr(c))]
+        tries = [*letters, *(f"e{c}st{c}" for c in letters), "".join(letters)]
+        added = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
+        self.by_letters = self.by_word and not any(map(_LETTERS.fullmatch, added)) and all(self._of_letters(x) == self.tokenizer.encode(x, add_special_tokens=False).ids for x in tries)
+        self.known, self.older = Known(), Known()
 
     def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, and where each text's begin."""
@@ -95,55 +153,68 @@ class WordTokens:
             return np.fromiter(chain.from_iterable(lists), dtype="<u4", count=bounds[-1]), bounds
         if not pc.any(pc.match_substring(texts, pattern="<|")).as_py():  # special tokens are told by their case
             texts = pc.ascii_lower(texts)
-        w = W.split(texts)
+        w = _stems_and_marks(W.split(texts))
         h = w.hashes(5)[0]
         order = np.argsort(h)
         first = np.concatenate([[True], h[order[1:]] != h[order[:-1]]]) if len(h) else np.zeros(0, dtype=bool)
         back = np.empty(len(h), dtype=np.int64)
         back[order] = np.cumsum(first) - 1
-        one, raw = order[first], w.buf.tobytes()
-        distinct = [raw[a:b] for a, b in zip(w.starts[one].tolist(), w.ends[one].tolist(), strict=True)]
-        if len(self.known) > _WORDS_KEPT:
-            self.known, self.older = {}, self.known
-        self._learn({x for x in distinct if x not in self.known})
-        parts = list(map(self.known.__getitem__, distinct))
-        size = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts)) // 4
-        flat, n = np.frombuffer(b"".join(parts), dtype="<u4"), size[back]
+        one = order[first]
+        if len(self.known.hash) > _WORDS_KEPT:
+            self.known, self.older = Known(), self.known
+        self._learn(h[one], w, one)
+        at, size = self.known.places(h[one])
+        n = size[back]
         ends = np.concatenate([[0], np.cumsum(n)])
-        at = np.repeat((np.cumsum(size) - size)[back] - ends[:-1], n) + np.arange(ends[-1])
-        return flat[at], ends[np.searchsorted(w.doc, np.arange(w.n_docs + 1))]
-
-    def _learn(self, words: set[bytes]) -> None:
-        known, older, parts, new = self.known, self.older, {}, {}
-        if older and (again := words & older.keys()):
-            known.update((w, older[w]) for w in again)
-            words -= again
-        for w in words:
-            if w[-1] not in _MARKS:
-                new[w] = None
-                continue
-            stem = w.rstrip(_MARKS)
-            if not stem or not (97 <= stem[-1] <= 122 or stem[-4:].decode("utf-8", "ignore")[-1:].isalpha()):
-                new[w] = None
-                continue
-            parts[w] = stem, w[len(stem) :]
-            for x in parts[w]:
-                if x not in known:
-                    if x in older:
-                        known[x] = older[x]
-                    else:
-                        new[x] = None
-        words_new = list(new)
-        for lo in range(0, len(words_new), _ENCODED_AT_ONCE):  # an encoding takes far more memory than its ids
-            some = words_new[lo : lo + _ENCODED_AT_ONCE]
-            lists = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)]
-            flat = np.fromiter(chain.from_iterable(lists), dtype="<u4").tobytes()
-            at = 0
-            for w, ids in zip(some, lists, strict=True):
-                known[w] = flat[at : at + 4 * len(ids)]
-                at += 4 * len(ids)
-        for w, (stem, marks) in parts.items():
-            known[w] = known[stem] + known[marks]
+        at = np.repeat(at[back] - ends[:-1], n) + np.arange(ends[-1])
+        return self.known.ids[at], ends[np.searchsorted(w.doc, np.arange(w.n_docs + 1))]
+
+    def _learn(self, h: np.ndarray, w: W.Words, one: np.ndarray) -> None:
+        """Makes all hashes (sorted; those of the words `one` of w) known."""
+        new = ~self.known.holds(h)
+        h, one = h[new], one[new]
+        again = self.older.holds(h)
+        if again.any():
+            self.known.add(h[again], *self.older.of(h[again]))
+        h, one, raw = h[~again], one[~again], w.buf.tobytes()
+        for lo in range(0, len(h), _ENCODED_AT_ONCE):  # an encoding takes far more memory than its ids
+            some = one[lo : lo + _ENCODED_AT_ONCE]
+            got = self._encoded([raw[a:b] for a, b in zip(w.starts[some].tolist(), w.ends[some].tolist(), strict=True)])
+            size = np.fromiter(map(len, got), dtype=np.int64, count=len(got)) // 4
+            self.known.add(h[lo : lo + _ENCODED_AT_ONCE], size, np.frombuffer(b"".join(got), dtype="<u4"))
+
+    def _of_letters(self, word: str) -> list[int]:
+        """The ids of a word of _LETTERS, by the model alone."""
+        return [x.id for x in self.model.tokenize(word.lower().translate(_AS_BYTES))]
+
+    def _encoded(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each word.
+
+        Words of _LETTERS go to the model at once. Others without the digit 0 are encoded
+        as one text, with that digit, an id of its own, between them.
+        """
+        out: list[bytes] = [b""] * len(words)
+        row, alone, texts = [], [], [w.decode() for w in words]
+        for k, t in enumerate(texts):
+            if self.by_letters and _LETTERS.fullmatch(t):
+                ids = self._of_letters(t)
+                out[k] = struct.pack(f"<{len(ids)}I", *ids)
+            else:
+                (alone if self.gap is None or "0" in t else row).append(k)
+        if row:
+            together = self.tokenizer.encode_batch_fast([" 0 ".join([texts[k] for k in row])], add_special_tokens=False)[0].ids
+            flat = np.array(together, dtype="<u4")
+            at = 4 * np.flatnonzero(flat == self.gap)
+            if len(at) == len(row) - 1:
+                raw = flat.tobytes()
+                for k, a, b in zip(row, [0, *(at + 4).tolist()], [*at.tolist(), len(raw)], strict=True):
+                    out[k] = raw[a:b]
+            else:
+                alone += row
+        lists = [e.ids for e in self.tokenizer.encode_batch_fast([texts[k] for k in alone], add_special_tokens=False)]
+        for k, ids in zip(alone, lists, strict=True):
+            out[k] = struct.pack(f"<{len(ids)}I", *ids)
+        return out
 
 
 _ENCODERS: dict[str, WordTokens] = {}  # of this worker process: later tasks find the words known
@@ -270,7 +341,7 @@ def pack_documents(docs: DataFrame, packing: Packing, id_column: str = "doc_id",
                         packer.add(doc_id, ids[a:b].tobytes() + end)
                     yield packer.batch()
         finally:
-            words.older = {}
+            words.older = Known()
             gc.enable()
         packer.close()
         yield packer.batch()
