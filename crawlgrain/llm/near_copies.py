@@ -36,7 +36,7 @@ class NearCopies:
     miss: the share of pairs at just that similarity that may share no table; bucket:
     fingerprints of unrelated documents that a bucket holds on average; largest: what a
     bucket holds at most before it is dealt again; chunk_bytes: shingles of a group
-    compared in one task.
+    compared in one task; results don't depend on it.
     """
 
     shingle: int = 5
@@ -285,58 +285,86 @@ def _verified(rows: DataFrame, members: DataFrame, p: NearCopies) -> DataFrame:
                 fits = pa.array((sums[bounds[1:]] - sums[bounds[:-1]]).view(np.int64) == b.column("key").to_numpy())
                 yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("component", "node", "cuts")), arrays], ["component", "node", "cuts", "shingles"]).filter(fits)
 
-    def unpacked(t: pa.Table) -> tuple[np.ndarray, list[np.ndarray]]:
-        t = t.sort_by("node")
-        flat = t.column("shingles").combine_chunks()
-        bounds, values = flat.offsets.to_numpy(), flat.values.to_numpy().view(U64)
-        return t.column("node").to_numpy(), [values[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
-
-    def chunk(t: pa.Table) -> pa.Table:
-        node, s = unpacked(t)
-        stays = dict(zip(node.tolist(), _leaders(s, p.similarity).tolist(), strict=True))
-        if t.nbytes > 1 << 20:
-            give_back()
-        return t.append_column("stays", pa.array([stays[x] for x in t.column("node").to_pylist()], pa.bool_())).select(["component", "node", "cuts", "shingles", "stays"])
-
-    def pair(t: pa.Table) -> pa.Table:
-        low, high = (unpacked(t.filter(pa.array(t.column("low").to_numpy(zero_copy_only=False) == x))) for x in (True, False))
-        index: dict[int, list[int]] = {}
-        prefix = lambda s: s[: len(s) - math.ceil(p.similarity * len(s) - 1e-9) + 1].tolist()
-        for k, s in enumerate(low[1]):
-            for x in prefix(s):
-                index.setdefault(x, []).append(k)
-        out = set()
-        for k, s in enumerate(high[1] if len(high[0]) else low[1]):
-            mine = int((high if len(high[0]) else low)[0][k])
-            for j in {j for x in prefix(s) for j in index.get(x, ())}:
-                other = int(low[0][j])
-                if other != mine and alike(low[1][j], s, p.similarity):
-                    out.add(max(mine, other))
-        return pa.table({"node": pa.array(sorted(out), pa.int64())})
-
-    picked = _by_id(rows, members, "doc_id").select("component", "node", "cuts", "key", "text")
-    full = picked.mapInArrow(tidied(sets), shingled)
-    judged = full.groupBy("component", F.pmod(F.xxhash64("node"), F.col("cuts")).alias("chunk")).applyInArrow(lambda t: chunk(t), shingled + ", stays boolean")
+    def picked(some: DataFrame) -> DataFrame:
+        return _by_id(rows, some, "doc_id").select("component", "node", "cuts", "key", "text").mapInArrow(tidied(sets), shingled)
+
+    def whole(t: pa.Table) -> pa.Table:
+        return _judged(t, p).filter(pc.field("stays") == False).select(["node"])  # noqa: E712
+
+    few = picked(members.where("cuts <= 1")).groupBy("component").applyInArrow(lambda t: whole(t), "node long")
     if members.where("cuts > 1").isEmpty():
-        return judged.where("not stays").select("node")
-    # groups of more than one chunk: what stays of the chunks is compared, each pair of blocks in a task
-    judged = durable(judged.select("component", "node", "cuts", F.when(F.col("stays") & (F.col("cuts") > 1), F.col("shingles")).alias("shingles"), "stays"))
-    rest = judged.where("stays and cuts > 1")
-    blocks = rest.groupBy("component").agg(F.ceil(F.sum(F.size("shingles") + 8) * 8 / p.chunk_bytes).alias("blocks"))
-    rest = rest.join(blocks, "component").withColumn("block", F.pmod(F.xxhash64("node", F.lit("block")), F.col("blocks")))
-    tasks = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda j: F.struct(F.least("block", j).alias("lo"), F.greatest("block", j).alias("hi")))
-    rest = rest.select("component", "node", "shingles", "block", F.explode(tasks).alias("task")).select("component", "node", "shingles", "task.lo", "task.hi", (F.col("block") == F.col("task.lo")).alias("low"))
-    across = rest.groupBy("component", "lo", "hi").applyInArrow(lambda t: pair(t), "node long")
-    return judged.where("not stays").select("node").unionByName(across)
+        return few
+    return few.unionByName(_in_order(picked(members.where("cuts > 1")).select("component", "node", "shingles"), p))
+
+
+def _unpacked(t: pa.Table) -> tuple[np.ndarray, list[np.ndarray]]:
+    t = t.sort_by("node")
+    flat = t.column("shingles").combine_chunks()
+    bounds, values = flat.offsets.to_numpy(), flat.values.to_numpy().view(U64)
+    return t.column("node").to_numpy(), [values[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
+
+
+def _judged(t: pa.Table, p: NearCopies) -> pa.Table:
+    """The rows of a group with `stays`."""
+    node, sets = _unpacked(t)
+    stays = dict(zip(node.tolist(), _leaders(sets, p.similarity).tolist(), strict=True))
+    if t.nbytes > 1 << 20:
+        give_back()
+    return t.select(["component", "node", "shingles"]).append_column("stays", pa.array([stays[x] for x in t.column("node").to_pylist()], pa.bool_()))
+
+
+def _against(t: pa.Table, p: NearCopies) -> pa.Table:
+    """The rows that don't lead, with `stays`: whether none that leads is similar enough. Of those that go, without shingles."""
+    lead = t.column("lead").combine_chunks()
+    (_, leaders), others = _unpacked(t.filter(lead)), t.filter(pc.invert(lead)).sort_by("node")
+    first = lambda s: s[: len(s) - math.ceil(p.similarity * len(s) - 1e-9) + 1].tolist()
+    index: dict[int, list[int]] = {}
+    for k, s in enumerate(leaders):
+        for x in first(s):
+            index.setdefault(x, []).append(k)
+    stays = pa.array([not any(alike(leaders[j], s, p.similarity) for j in {j for x in first(s) for j in index.get(x, ())}) for s in _unpacked(others)[1]], pa.bool_())
+    if t.nbytes > 1 << 20:
+        give_back()
+    shingles = others.column("shingles").combine_chunks()
+    return others.select(["component", "node"]).append_column("shingles", pc.if_else(stays, shingles, pa.scalar(None, shingles.type))).append_column("stays", stays)
+
+
+def _in_order(rows: DataFrame, p: NearCopies) -> DataFrame:
+    """(node) of the members that go of groups larger than a chunk: rows (component, node, shingles).
+
+    Turn by turn, the members of the smallest ids that make about a chunk are judged in
+    one task, then all others against those of them that stay, in as many tasks as there
+    are chunks. So each is judged as in a group of one chunk: by what stays before it.
+    """
+    schema = "component long, node long, shingles array<long>, stays boolean"
+    shares = [0.5**k for k in range(21)]
+    rest, lost = durable(rows), None
+    while True:
+        size = F.sum((F.size("shingles") + 8).cast("long") * 8)
+        told = rest.groupBy("component").agg(F.ceil(size / p.chunk_bytes).alias("cuts"), F.percentile_approx("node", shares).alias("ids"))
+        upto = F.element_at("ids", F.least(F.ceil(F.log2("cuts")), F.lit(20)).cast("int") + 1)
+        told = durable(told.select("component", "cuts", upto.alias("upto")))
+        placed = rest.join(told, "component")
+        first = durable(placed.where("node <= upto").groupBy("component").applyInArrow(lambda t: _judged(t, p), schema))
+        gone_now = first.where("not stays").select("node")
+        lost = gone_now if lost is None else lost.unionByName(gone_now)
+        if told.where("cuts > 1").isEmpty():
+            return lost
+        blocks = F.explode(F.sequence(F.lit(0).cast("long"), F.col("cuts") - 1))
+        leaders = first.where("stays").join(told, "component").select("component", "node", "shingles", F.lit(True).alias("lead"), blocks.alias("block"))
+        later = placed.where("node > upto").select("component", "node", "shingles", F.lit(False).alias("lead"), F.pmod(F.xxhash64("node"), F.col("cuts")).alias("block"))
+        judged = durable(leaders.unionByName(later).groupBy("component", "block").applyInArrow(lambda t: _against(t, p), schema))
+        lost = lost.unionByName(judged.where("not stays").select("node"))
+        rest = judged.where("stays").select("component", "node", "shingles")
 
 
 def one_of_each(docs: DataFrame, p: NearCopies = NearCopies(), id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """docs without near copies, all columns as they are.
 
     In the order of ids, a document goes if its similarity to one that stays reaches
-    p.similarity (in a group too large for a task, perhaps to one that itself goes for
-    another). Rows of a null id stay; where an id is repeated, one of its rows stays;
-    null and empty texts are copies of each other; an empty table gives no rows.
+    p.similarity, however large its group. Rows of a null id stay; where an id is
+    repeated, one of its rows stays; null and empty texts are copies of each other; an
+    empty table gives no rows.
     """
     lost, repeated = (durable(x) for x in gone(docs, p, id_column, text_column))
     key = docs[id_column].cast("long")
