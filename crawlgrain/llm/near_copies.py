@@ -13,6 +13,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -124,22 +125,46 @@ def _dealt(rows: DataFrame, tables: np.ndarray, prefix: bool = False) -> DataFra
     return rows.mapInArrow(tidied(task), "bucket long, node long, f1 long, f2 long")
 
 
-def _swept(f: np.ndarray, distance: int, least: int = 2048) -> tuple[np.ndarray, np.ndarray]:
-    """(root of each row, rows left): hot groups go at once, each with one pass over the rows.
+def _swept(f: np.ndarray, distance: int, least: int = 2048) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """(root of each row, rows left, links): hot groups go at once, each with one pass over the rows.
 
     Leaders are spread over the rows; a leader takes what is near it if that is at least
-    a 64th of the rows. Under `least` rows nothing is swept.
+    a 64th of the rows, and is linked with each row left that is near any of these.
+    Under `least` rows nothing is swept.
     """
-    root, left = np.arange(len(f)), np.arange(len(f))
+    root, left, links = np.arange(len(f)), np.arange(len(f)), []
     for turn in range(64):
         if len(left) < least:
             break
         leader = left[(turn * 2654435761) % len(left)]
-        near = np.bitwise_count(f[left] ^ f[leader]).sum(axis=1, dtype=np.int64) <= distance
+        far = np.bitwise_count(f[left] ^ f[leader]).sum(axis=1, dtype=np.int64)
+        near = far <= distance
         if near.sum() * 64 >= len(left):
             root[left[near]] = leader
+            hit = _reached(f, left[near], far[near], left[~near], far[~near], distance)
+            links.append((np.full(len(hit), leader), hit))
             left = left[~near | (left == leader)]
-    return root, left
+    return root, left, links
+
+
+def _reached(f: np.ndarray, group: np.ndarray, r: np.ndarray, others: np.ndarray, far: np.ndarray, distance: int, pairs: int = 1 << 18) -> np.ndarray:
+    """Those of `others` that are near a row of the group; r, far: how far all these are from the group's leader, which tells most apart."""
+    order = np.argsort(r)
+    group, r = group[order], r[order]
+    some = np.flatnonzero(far <= distance + r[-1])
+    some = some[np.argsort(-far[some], kind="stable")]
+    out, at = [others[:0]], 0
+    while at < len(some):
+        n = max(1, pairs // len(group))
+        part = some[at : at + n]
+        mates = group[np.searchsorted(r, far[part[-1]] - distance) :]
+        hit = np.zeros(len(part), dtype=bool)
+        for lo in range(0, len(mates), pairs):
+            x = f[others[part]][:, None, :] ^ f[mates[lo : lo + pairs]][None, :, :]
+            hit |= (np.bitwise_count(x).sum(axis=2, dtype=np.int16) <= distance).any(axis=1)
+        out.append(others[part[hit]])
+        at += n
+    return np.concatenate(out)
 
 
 def _loose(distinct: DataFrame, p: NearCopies) -> DataFrame:
@@ -163,16 +188,20 @@ def _loose(distinct: DataFrame, p: NearCopies) -> DataFrame:
             order = gray_order(work, f)
             work, f, node = work[order], f[order], node[order]
             bounds = np.flatnonzero(np.concatenate([[True], work[1:] != work[:-1], [True]]))
-            swept, stays = np.arange(len(f)), np.ones(len(f), dtype=bool)
+            swept, stays, links = np.arange(len(f)), np.ones(len(f), dtype=bool), []
             for a, b in zip(bounds, bounds[1:], strict=False):
                 if b - a >= least:
-                    root, left = _swept(f[a:b], distance, least)
+                    root, left, more = _swept(f[a:b], distance, least)
+                    links += [(a + x, a + y) for x, y in more]
                     swept[a:b] = a + root
                     stays[a:b] = False
                     stays[a + left] = True
             rest = np.flatnonzero(stays)
             roots = np.arange(len(f))
-            roots[rest] = rest[_roots(len(rest), near_pairs(work[rest], f[rest], distance))]
+            while (swept[swept] != swept).any():
+                swept = swept[swept]
+            known = ((np.searchsorted(rest, swept[x]), np.searchsorted(rest, swept[y])) for x, y in links)
+            roots[rest] = rest[_roots(len(rest), chain(known, near_pairs(work[rest], f[rest], distance)))]
             to = roots[swept]
             hit = np.flatnonzero(to != np.arange(len(f)))
             yield pa.RecordBatch.from_arrays([pa.array(node[to[hit]]), pa.array(node[hit])], ["a", "b"])
@@ -184,8 +213,10 @@ def _loose(distinct: DataFrame, p: NearCopies) -> DataFrame:
             bucket, words = t.column("bucket").to_numpy(), f.view(np.int64)
             bounds = np.flatnonzero(np.concatenate([[True], work[1:] != work[:-1], [True]]))
             for a, b in zip(bounds, bounds[1:], strict=False):
-                root, left = _swept(f[a:b], distance, least)
+                root, left, links = _swept(f[a:b], distance, least)
                 hit, left = a + np.flatnonzero(root != np.arange(b - a)), a + left
+                for x, y in links:
+                    yield pa.RecordBatch.from_arrays([pa.array(node[a + x]), pa.array(node[a + y]), *[none(len(x))] * 4], names)
                 yield pa.RecordBatch.from_arrays([pa.array(node[a + root[hit - a]]), pa.array(node[hit]), *[none(len(hit))] * 4], names)
                 yield pa.RecordBatch.from_arrays([none(len(left)), none(len(left)), *map(pa.array, (bucket[left], node[left], words[left, 0], words[left, 1]))], names)
 
