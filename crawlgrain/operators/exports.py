@@ -50,8 +50,8 @@ def csv_header(rows: DataFrame) -> str:
 
 
 def write_csv(rows: DataFrame, path: str) -> None:
-    """Part files with a header each, CRLF at line ends, quotes doubled; no row limit."""
-    rows.write.mode("overwrite").option("header", True).option("escape", '"').option("lineSep", "\r\n").option("emptyValue", "").csv(path)
+    """Part files with a header each, CRLF at line ends, quotes doubled, blanks and control characters at the ends of fields kept; no row limit."""
+    rows.write.mode("overwrite").options(header=True, escape='"', lineSep="\r\n", emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
 
 
 def write_json(crawled: DataFrame, path: str) -> None:

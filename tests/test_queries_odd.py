@@ -8,7 +8,7 @@ import duckdb
 import pytest
 
 from crawlgrain.functions.html import read_page
-from crawlgrain.operators import frontier, links
+from crawlgrain.operators import exports, frontier, links
 from crawlgrain.plans import cases  # noqa: F401
 from crawlgrain.plans.queries import ORACLE_SQL, QUERIES
 from tests.test_queries import plain
@@ -97,3 +97,10 @@ def test_frontier_enqueue(spark, odd):
 
 def test_urls_search(spark, odd):
     equal(spark, odd, "urls_search")
+
+
+def test_csv_files_keep_the_ends_of_fields(spark, tmp_path):
+    odd = [" lead", "trail ", "\x01a", "a\x02", "\ta", "x\n", "\r", " ", "a,b ", '" q']
+    exports.write_csv(spark.createDataFrame([(str(i), x) for i, x in enumerate(odd)], "i string, x string"), str(tmp_path / "csv"))
+    back = spark.read.option("header", True).option("escape", '"').option("multiLine", True).csv(str(tmp_path / "csv"))
+    assert [r.x for r in sorted(back.collect(), key=lambda r: int(r.i))] == odd
