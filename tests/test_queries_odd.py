@@ -104,3 +104,28 @@ def test_csv_files_keep_the_ends_of_fields(spark, tmp_path):
     exports.write_csv(spark.createDataFrame([(str(i), x) for i, x in enumerate(odd)], "i string, x string"), str(tmp_path / "csv"))
     back = spark.read.option("header", True).option("escape", '"').option("multiLine", True).csv(str(tmp_path / "csv"))
     assert [r.x for r in sorted(back.collect(), key=lambda r: int(r.i))] == odd
+
+
+@pytest.fixture(scope="module")
+def titled(spark, tmp_path_factory):
+    """Pages whose titles hold what looks like markup, or begin or end with control characters."""
+    where = tmp_path_factory.mktemp("titled")
+    titles = ("Blog <b>{i}</b> x", "Blog {i} <c", "Blog <!-- {i} --> x", "Blog {i} < 9 & </b>", "<i>{i}", "\x01Blog {i}", "Blog {i}\x02")
+    page = "<html><head><title>{t}</title></head><body><article><h1>Head {i}</h1><p>Some words of {i}</p></article></body></html>"
+    rows = [(i, f"https://a.example.com/en/{i}", page.format(i=i, t=titles[i % len(titles)].format(i=i))) for i in range(140)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1).write.parquet(str(where / "pages.parquet"))
+    con = duckdb.connect()
+    con.execute("SET TimeZone = 'UTC'")
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{where}/pages.parquet/*.parquet')")
+    return str(where), con
+
+
+def test_titles_hold_text_alone():
+    page = "<script>'<title>a<b></title>'</script><!-- <title>c<d></title> --><title>x < y <b>&lt;z</b><!-- &amp; --></title><body><p>w <i>v</i></p><svg><title>s</title></svg>"
+    assert [(x["title"], x["body_text"]) for x in (read_page(page), read_page(page, bare_references=False))] == [("x < y <b><z</b><!-- & -->", "w v")] * 2
+    assert read_page("<title>a <b><body><p>w</p>")["body_text"] == "w"
+
+
+@pytest.mark.parametrize("name", ["csv_export_rows", "csv_file", "urls_search"])
+def test_titles_with_odd_text(spark, titled, name):
+    equal(spark, titled, name)
