@@ -129,3 +129,15 @@ def test_titles_hold_text_alone():
 @pytest.mark.parametrize("name", ["csv_export_rows", "csv_file", "urls_search"])
 def test_titles_with_odd_text(spark, titled, name):
     equal(spark, titled, name)
+
+
+def test_separators_are_no_white_space(spark, tmp_path):
+    page = "<html><head><title>\x1fBlog\x1f{i} \x1c x\x1e</title></head><body><article><h1>Head\x1c{i}\x1d</h1><p>Some\x1dwords \x1e of {i}</p></article></body></html>"
+    got = read_page(page.format(i=1))
+    assert (got["title"], got["h1"], got["body_text"]) == ("\x1fBlog\x1f1 \x1c x\x1e", "Head\x1c1\x1d", "Head\x1c1\x1d Some\x1dwords \x1e of 1")
+    spark.createDataFrame([(i, f"https://a.example.com/en/{i}", page.format(i=i)) for i in range(60)], "page_id long, url string, html string").coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    con = duckdb.connect()
+    con.execute("SET TimeZone = 'UTC'")
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    for name in ("urls_search", "csv_export_rows", "csv_file", "content_hash"):
+        equal(spark, (str(tmp_path), con), name)
